@@ -11,8 +11,12 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed: A-Z to a-z, other ASCII that is neither letter nor digit to a space; bytes over 0x7F stay.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -56,3 +60,57 @@ def space_words(text: bytes) -> list[bytes]:
 def alnum_words(text: bytes) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z."""
     return text.translate(ALNUM).split()
+
+
+def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Adds ``__key`` (the id as text, null told apart) and ``__hash`` (of the text): together they name a document."""
+    key = F.when(F.col(id_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(id_col).cast("string")))
+    return docs.withColumn("__key", key).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def attach(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Joins whole rows to ``found`` (``__key``, ``__hash``, columns; one row a document) and leaves one row of each document.
+
+    Only keys and results were shuffled to make ``found``; the texts move once, here. Where documents
+    are written more than once, their rows are adjacent after the join, and all but one go.
+    """
+    rows = with_key(docs, id_col, text_col).join(found, ["__key", "__hash"])
+    first = W.partitionBy("__key", "__hash").orderBy(F.lit(0))
+    return rows.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__key", "__hash", "__nth")
+
+
+def ordered_positions(rows: DataFrame, order: list[str], sums: list[str] = ()) -> DataFrame:
+    """Adds ``position`` (0-based in the total order of ``order``) and, for each column of ``sums``, ``before_<column>``: its sum over earlier rows.
+
+    Rows are range-partitioned and sorted, each partition counts its own rows, and the partitions'
+    totals (one row each) are cumulated: no task sees more than its range. Rows that tie in every
+    column of ``order`` must be alike.
+    """
+    from pyspark import TaskContext
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = rows.columns
+    extra = ["__part", "position", *(f"before_{c}" for c in sums)]
+    schema = T.StructType([*rows.schema.fields, T.StructField("__part", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in extra[1:])])
+
+    def count(batches):
+        part, at, told = TaskContext.get().partitionId(), 0, dict.fromkeys(sums, 0)
+        for b in batches:
+            new = [pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(at, at + b.num_rows, dtype=np.int64))]
+            for c in sums:
+                values = b.column(names.index(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                upto = np.cumsum(values)
+                new.append(pa.array(told[c] + upto - values))
+                told[c] += int(upto[-1]) if len(upto) else 0
+            at += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*names, *extra])
+
+    local = materialise(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(count, schema))
+    totals = local.groupBy("__part").agg(F.count("*").alias("__rows"), *(F.sum(c).alias(f"__sum_{c}") for c in sums))
+    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row for each partition
+    offsets = totals.select("__part", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__o"), *(F.coalesce(F.sum(f"__sum_{c}").over(earlier), F.lit(0)).alias(f"__o_{c}") for c in sums))
+    found = local.join(F.broadcast(offsets), "__part")  # at most as many rows as shuffle partitions
+    found = found.withColumn("position", F.col("position") + F.col("__o"))
+    for c in sums:
+        found = found.withColumn(f"before_{c}", F.col(f"before_{c}") + F.col(f"__o_{c}"))
+    return found.drop("__part", "__o", *(f"__o_{c}" for c in sums))

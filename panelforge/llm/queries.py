@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import hilbert, mixing, simhash
 from .common import table
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.schedule(table(spark, sf_dir, "documents"), cycle=(1, 2, 3), repeats=3, budget=1.0)
+    return planned.select("doc_id", "size", "source_size", "target", "taken", "start", "copies")
+
+
+def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = hilbert.assign(table(spark, sf_dir, "documents"), shards=24, law="rows")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_hilbert_sharding": op3_hilbert_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}

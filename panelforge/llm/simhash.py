@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, space_words, text_bytes
+from .common import attach, materialise, space_words, text_bytes, with_key
 
 _LANE = np.uint64(0x0101010101010101)
 
@@ -246,14 +246,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", size: int = 3
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", size: int = 3, radius: int = 3) -> DataFrame:
     """One document of each group, the one with the smallest id (then the smallest hash of its text); null ids come last."""
-    groups = materialise(near_duplicate_groups(docs, id_col, size, radius))
+    groups = near_duplicate_groups(docs, id_col, size, radius)
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_hash").alias("hash"))
-    first = groups.groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.hash").alias("__hash"))
-    times = groups.groupBy(F.col(id_col).alias("__i"), F.col("text_hash").alias("__h")).agg(F.count("*").alias("__n"))
-    again = times.filter("__n > 1").select("__i", "__h", "__n")
-    kept = first.join(again, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), "left").select("__id", "__hash", "__n")
-    rows = docs.withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")))
-    once = rows.filter(F.col("__n").isNull())
-    more = rows.filter(F.col("__n").isNotNull()).dropDuplicates([id_col, "__text_hash"])
-    return once.unionByName(more).select(docs.columns)
+    first = groups.groupBy("root").agg(F.min(key).alias("k")).select("k.*")
+    kept = with_key(first.select(F.col("id").alias(id_col), "hash", F.lit(None).cast("string").alias("text")), id_col)
+    return attach(docs, materialise(kept.select("__key", F.col("hash").alias("__hash"))), id_col).select(docs.columns)
