@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, hilbert, mixing, quality, simhash, toxicity
+from . import fm_index, hilbert, mixing, multiset_hash, quality, simhash, toxicity, warc
 from .common import table
 
 
@@ -39,12 +39,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_hilbert_sharding": op3_hilbert_sharding,
     "op4_fm_decontamination": op4_fm_decontamination,
     "op5_toxicity": op5_toxicity,
+    "op8_multiset_fingerprints": op8_multiset_fingerprints,
+    "op9_warc_round_trip": op9_warc_round_trip,
     "op10_quality": op10_quality,
 }
 

@@ -179,7 +179,7 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.n
     return w
 
 
-def fit(texts: list[str], y: np.ndarray, toxic_share: float, landmarks: int = 256, most_windows: int = 25_000, decay: float = 0.5, ridge: float = 0.02, rounds: int = 3, share_of_variants: float = 0.1, seed: int = 11) -> Machine | None:
+def fit(texts: list[str], y: np.ndarray, toxic_share: float, landmarks: int = 256, most_windows: int = 25_000, decay: float = 0.5, ridge: float = 0.06, rounds: int = 3, share_of_variants: float = 0.1, seed: int = 11) -> Machine | None:
     if len(y) == 0 or y.min() == y.max():
         return None
     sets = [windows(t) for t in texts]
@@ -261,7 +261,7 @@ def fit(texts: list[str], y: np.ndarray, toxic_share: float, landmarks: int = 25
     np.add.at(folded, m_feature, m_weight * beta[marks])
     machine = Machine(folded, float(w[-1]), decay, np.zeros(4))
     worst = machine.worst(texts)
-    alone = worst[(y == 1) & (worst[:, 0] > 0)] * [1, 0, 0] + [0, -1.5, -1.5]  # one insult is enough: each toxic document also by its worst window alone
+    alone = worst[(y == 1) & (worst[:, 0] > 0.7)] * [1, 0, 0] + [0, -1.5, -1.5]  # one insult is enough: each toxic document also by its worst window alone
     machine.head = _logistic(np.concatenate([evidence(worst), evidence(alone)]), np.concatenate([y, np.ones(len(alone))]).astype(float), 1e-5)
     n1 += len(alone)
     # the classes were sampled apart: the intercept makes up for it
