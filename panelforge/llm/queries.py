@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, hilbert, mixing, multiset_hash, quality, simhash, toxicity, warc
+from . import fm_index, hilbert, licenses, mixing, multiset_hash, quality, sentence_spans, simhash, toxicity, warc
 from .common import table
 
 
@@ -39,6 +39,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_spans.remove_repeats(docs, least_sentences=3, least_words=20)
+
+
 def op8_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -53,6 +62,8 @@ QUERIES = {
     "op3_hilbert_sharding": op3_hilbert_sharding,
     "op4_fm_decontamination": op4_fm_decontamination,
     "op5_toxicity": op5_toxicity,
+    "op6_license_scan": op6_license_scan,
+    "op7_sentence_span_dedup": op7_sentence_span_dedup,
     "op8_multiset_fingerprints": op8_multiset_fingerprints,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_quality": op10_quality,
