@@ -1,5 +1,67 @@
-"""placeholder"""
-STAGES = []
+"""A corpus pipeline of five stages; each works on all rows that the one before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes what each returns as
+Parquet to the folder that the cluster shares and gives it to the next one, so lineage is cut between
+stages and a lost executor costs one stage's work at most. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from panelforge.llm import fm_index, hilbert, mixing, quality, simhash
+from panelforge.llm.common import shared_dir, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the quality ranking doesn't reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each SimHash group.
+
+    Near copies here are what the contract of such operators asks for: shingles of five words,
+    and the fingerprints' radius of 3 bits, far within a similarity of 0.8.
+    """
+    return simhash.keep_first(docs, size=5, radius=3)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts benchmark passages of ten words out of the texts."""
+    return fm_index.remove_contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes whole documents to the sources' target weights, some of them more than once."""
+    return mixing.mixed_documents(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds ``shard`` and ``slot`` along the Hilbert curve."""
+    return hilbert.sharded(docs, shards=24)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("simhash_dedup", dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
+
+#: A trained model, fingerprints and an index: no SQL gives these rows; tests/llm compares them with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
