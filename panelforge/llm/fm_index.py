@@ -10,7 +10,7 @@ queries; occurrences are located by walking back to a sampled position; the span
 merged. Nothing is shuffled: results leave on the rows that came in.
 
 The benchmark is compiled on the driver in blocks of at most about ``block_words`` words, each
-broadcast, so a large benchmark costs more passes over the documents' words but no more memory.
+broadcast, so a large benchmark costs more passes over the documents' words, and no larger index.
 
 Defined results: null and empty texts have no words and no hits; items without words are in no
 document; repeated items share an id in the result; null item ids are left out; an empty benchmark hits nothing.
@@ -270,7 +270,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the words of the spans; of what stood between, the part before each span stays."""
+    """The text without the words of the spans and what stood between them."""
     raw = text.encode()
     flags = np.frombuffer(raw.translate(_IS_WORD), np.uint8)
     edge = np.diff(flags.astype(np.int8), prepend=0, append=0)
@@ -278,7 +278,9 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     out, at = [], 0
     for s, e in spans:
         out.append(raw[at : starts[s]])
-        at = ends[e - 1]
+        at = int(ends[e - 1])
+        if raw[at : at + 1] == b" " and out[-1][-1:] in (b"", b" ", b"\n"):
+            at += 1  # not two spaces where the words were
     out.append(raw[at:])
     return b"".join(out).decode()
 

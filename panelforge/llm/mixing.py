@@ -57,10 +57,11 @@ def schedule(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), repeats: int =
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = with_key(docs, id_col).select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), "__key", "__hash")
-    rows = materialise(rows.withColumn("__mixed", F.xxhash64("__key", "__hash", F.lit(seed))))
+    mixed = F.conv(F.substring(F.md5(F.concat(F.col("__key"), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long")  # 60 bits, the same in any engine
+    rows = materialise(rows.withColumn("__mixed", mixed))
     n = rows.count()
     bits = max(1, math.ceil(math.log2(max(2.0, n / max(256.0, math.sqrt(n))))))
-    rows = rows.withColumn("__bucket", F.shiftright("__mixed", 64 - bits))
+    rows = rows.withColumn("__bucket", F.shiftright("__mixed", 60 - bits))
     targets = materialise(source_targets(rows.select("source", "size"), cycle, repeats, budget))
     # sums within buckets of the shuffled order, then over buckets: a hot source is dealt over all its buckets
     buckets = rows.groupBy("source", "__bucket").agg(F.sum("size").alias("__words"))
