@@ -172,7 +172,7 @@ def optimise_path(sample: DataFrame, objectives: tuple[str, ...] = G.OBJECTIVES,
     keys = [*(by or []), "objective"]
     fields = T.StructType([*(rows.schema[k] for k in keys), *T._parse_datatype_string(f"{W3}, cagr double, sharpe double").fields])
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         r, rf = pdf[["r_ndx", "r_spx", "r_ust"]].to_numpy(float), pdf["rf"].to_numpy(float)
         w = G.optimise_path(r, rf, key[-1])

@@ -128,7 +128,7 @@ def quantile(column: str, p: float) -> Column:
 
 def upper_median(column: str) -> Column:
     """The element at floor(n / 2) of the sorted values: not the interpolated median."""
-    return F.expr(f"element_at(sort_array(collect_list({column})), cast(floor(count({column}) / 2) as int) + 1)")
+    return F.expr(f"get(sort_array(collect_list({column})), cast(floor(count({column}) / 2) as int))")
 
 
 def domain(df: DataFrame, columns: list[str]) -> DataFrame:

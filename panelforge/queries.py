@@ -694,11 +694,11 @@ def export_rows(spark: SparkSession, d: str) -> DataFrame:
     return p.select("month", months.month_end(F.col("month")).alias("date"), F.col("NDX").alias("ndx_px"), F.col("SPX").alias("spx_px"), F.col("ndx_pe"), F.col("spx_pe"), F.lit(None).cast("double").alias("ndx_eps"), F.lit(None).cast("double").alias("spx_eps"), F.lit(None).cast("double").alias("ndx_tr"), F.lit(None).cast("double").alias("spx_tr"), F.lit(None).cast("double").alias("ndx_pe_fwd"), F.lit(None).cast("double").alias("spx_pe_fwd"))
 
 
-@query("o1_import_text", with_() + f" select month, strftime(last_day(cast(month || '-01' as date)), '%Y-%m-%d') as date, {r('round(NDX, 4)', 'ndx_px', 4)}, {r('round(SPX, 4)', 'spx_px', 4)}, {r('round(ndx_pe, 4)', 'ndx_pe', 4)} from hist", 4)
+@query("o1_import_text", with_() + f" select month, strftime(last_day(cast(month || '-01' as date)), '%Y-%m-%d') as date, {rr('NDX SPX ndx_pe', 7).replace('as NDX', 'as ndx_px').replace('as SPX', 'as spx_px')} from hist", 7)
 def import_text(spark, d):
     """The panel written as semicolon text with decimal commas and day-first dates, and parsed again."""
     p = panel(spark, d)
-    num = lambda c: F.translate(F.format_string("%.4f", F.round(c, 4)), ".", ",")
+    num = lambda c: F.translate(F.format_string("%.10f", F.col(c)), ".", ",")
     lines = p.select((F.col("t") + 2).cast("int").alias("n"), F.concat_ws(";", F.date_format(months.month_end(F.col("month")), "dd.MM.yyyy"), num("NDX"), num("SPX"), num("ndx_pe")).alias("line"))
     head = spark.createDataFrame([(0, "# source: panel"), (1, "date;ndx_px;spx_px;ndx_pe")], "n int, line string")
     got = vendor.parse_lines(head.unionByName(lines))["rows"]

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 def last_per_window(stream: DataFrame, key: str, at: str, value: str, window: str = "1 day", late: str = "2 days") -> DataFrame:
     """The last value of each key in each window; rows later than ``late`` are dropped, state goes with the watermark."""
-    marked = stream.withWatermark(at, late)
+    marked = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
     return marked.groupBy(F.window(at, window).alias("w"), key).agg(F.max_by(value, at).alias(value), F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, value, "n")
 
 
 def sessions(stream: DataFrame, key: str, at: str, gap: str = "12 hours", late: str = "2 days") -> DataFrame:
     """Runs of a key's rows at most ``gap`` apart."""
-    return stream.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
+    marked = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    return marked.groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
 def append_only(stream: DataFrame, path: str, key: str, checkpoint: str):
