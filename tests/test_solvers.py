@@ -11,7 +11,7 @@ from panelforge.operators import resample, solvers, stats
 from panelforge.operators import sample as S
 from panelforge.plans.engine import Engine, Spec, parse_query, serialise
 from panelforge.queries import panel
-from tests.test_stats import sample_of
+from test_stats import sample_of
 
 GRID = np.array([(i, j, 100 - i - j) for i in range(101) for j in range(101 - i)]) / 100
 
