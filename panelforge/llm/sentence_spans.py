@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes, with_key
+from .common import materialise, text_bytes, with_key
 
 LONG = 12
 _SPACE = np.zeros(256, bool)
@@ -110,7 +110,7 @@ def repeated(docs: DataFrame, least_sentences: int = 3, least_words: int = 20, i
     each = rows.mapInArrow(run, T.StructType([*kept, T.StructField("span", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("after", T.IntegerType())]))
     place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__hash").alias("hash"), F.col("first").alias("first"))
     firsts = each.groupBy("span").agg(F.min(place).alias("p"), F.count("*").alias("n")).filter("n > 1")
-    firsts = firsts.select("span", F.col("p.id").alias("i"), F.col("p.hash").alias("h"), F.col("p.first").alias("f"))
+    firsts = materialise(firsts.select("span", F.col("p.id").alias("i"), F.col("p.hash").alias("h"), F.col("p.first").alias("f")))  # so that the join's sides are plain shuffles, which Spark can split
     later = each.join(firsts, "span").filter(~(F.col("__id").eqNullSafe(F.col("i")) & (F.col("__hash") == F.col("h")) & (F.col("first") == F.col("f"))))
     return later.groupBy("__key", "__hash").agg(F.collect_set(F.struct("first", "after")).alias("__cover"))
 
