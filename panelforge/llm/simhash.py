@@ -8,12 +8,17 @@ shard. A shard over ``cap`` fingerprints is split again by the bits that it leav
 bits it can hold 4,096 at most, so the size of a tree is bounded whatever the data. Inside a shard a
 union-find keeps one link per merge (a spanning forest), never all pairs.
 
+``keep_unlike`` is the same for texts of a given similarity instead of a radius of 64 bits: three bits of 64
+find only some of the texts that are 0.8 alike or more, so it takes wide fingerprints, whose
+shards agree on seeded picks of bits and whose trees are searched with the radius that the similarity allows.
+
 Defined results: null and empty texts have fingerprint 0 and link like any other; null ids take part
 but never name a component (a component of null ids only has a null id); repeated rows share a result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -52,6 +57,37 @@ def majority_bits(hashes: np.ndarray) -> int:
     return out
 
 
+#: Fixed by a rule: odd multiples of the golden ratio's 64 bits, one for each further word of a wide fingerprint.
+_WORDS = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(64)], np.uint64)
+
+
+def wide_majority(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` x 64 majority bits: every hash is mixed anew for each word."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(words, np.uint64)
+    x = hashes[None, :] ^ _WORDS[:words, None]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    blocks = -(-n // 255)
+    padded = np.zeros((words, blocks * 255), np.uint64)
+    padded[:, :n] = x
+    out = np.zeros(words, np.uint64)
+    for shift in range(8):
+        lanes = ((padded >> np.uint64(shift)) & _LANE).reshape(words, blocks, 255).sum(axis=2, dtype=np.uint64)
+        ones = (lanes.view(np.uint8).reshape(words, blocks, 8).sum(axis=1, dtype=np.int64) * 2 > n).astype(np.uint64)
+        out |= (ones << (np.arange(8, dtype=np.uint64) * np.uint64(8) + np.uint64(shift))).sum(axis=1, dtype=np.uint64)
+    return out
+
+
+def wide_fingerprint(text: bytes, size: int, words: int) -> bytes:
+    """A SimHash of 64 x ``words`` bits over word shingles; a text without words has none."""
+    parts = shingles(space_words(text), size)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts))
+    return wide_majority(hashes, words).astype("<u8").tobytes() if parts else b""
+
+
 def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of a whole text over the XXH64 of its word shingles, repeats included."""
     parts = shingles(space_words(text), size)
@@ -244,6 +280,121 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", size: int = 3
     return each.join(names, "fp").select(id_col, "text_hash", "fp", "root", "component_id")
 
 
+def allowed_share(similarity: float) -> float:
+    """Share of SimHash bits that differ between texts of that Jaccard similarity and equal length: the angle of their shingle vectors over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def shard_plan(n: int, share: float, miss: float = 0.01) -> tuple[int, int]:
+    """(bits of a shard's key, number of keys a fingerprint has): keys as long as the corpus needs, and so many that a pair at that share of differing bits misses all with chance ``miss`` at most."""
+    bits = min(26, max(12, round(math.log2(max(2, n))) - 1))
+    return bits, math.ceil(math.log(miss) / math.log1p(-((1 - share) ** bits)))
+
+
+def _deal(words: int, width: int, keys: int, seed: int):
+    """(key, node, print) for each of a fingerprint's keys: seeded picks of its bits, mixed with the shard it comes from."""
+    picks = np.random.default_rng(seed).permuted(np.tile(np.arange(64 * words), (keys, 1)), axis=1)[:, :width]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take = np.zeros((64 * words, keys))
+        for k in range(keys):
+            take[picks[k], k] = 2.0 ** np.arange(width)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                b = batch.slice(at, 2000)
+                raw = np.frombuffer(b"".join(x.as_py() for x in b.column(2)), np.uint8).reshape(b.num_rows, 8 * words)
+                key = (np.unpackbits(raw, axis=1, bitorder="little") @ take).astype(np.uint64)
+                outer = b.column(0).to_numpy().view(np.uint64)[:, None]
+                key = (key + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD) ^ _WORDS[np.arange(keys) % 64][None, :] * np.uint64(1 + 2 * (seed % 1000)) ^ (np.arange(keys, dtype=np.uint64)[None, :] << np.uint64(7))
+                key = (key ^ (key >> np.uint64(29)) ^ outer * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC4CEB9FE1A85EC53)
+                rows = pa.array(np.repeat(np.arange(b.num_rows), keys))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), b.column(1).take(rows), b.column(2).take(rows)], ["key", "node", "print"])
+
+    return run
+
+
+def _wide_trees(radius: int):
+    """Rows come sorted by key; each run of one key is a shard with its own BK-tree over the wide fingerprints."""
+
+    def flush(nodes: list[int], prints: list[bytes], out: list[tuple[int, int]]) -> None:
+        distinct = dict(zip(prints, nodes, strict=True))
+        if len(distinct) > 1:
+            value = {int.from_bytes(p, "little"): n for p, n in distinct.items()}
+            out += [(value[a], value[b]) for a, b in spanning_links(sorted(value), radius)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, nodes, prints = None, [], []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for key, node, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last:
+                    if len(nodes) > 1:
+                        flush(nodes, prints, out)
+                    last, nodes, prints = key, [], []
+                nodes.append(node)
+                prints.append(p)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+        out = []
+        if len(nodes) > 1:
+            flush(nodes, prints, out)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+
+    return run
+
+
+def similar_links(prints: DataFrame, words: int, similarity: float = 0.8, cap: int = 512) -> DataFrame:
+    """(a, b): links between ``node``s whose wide fingerprints differ in at most the share of bits that the similarity allows.
+
+    A shard holds the fingerprints that agree on a key of bits; every fingerprint has many keys. Shards over
+    ``cap`` are dealt on by further keys of 8 bits, several for each row, so no tree grows with a hot group:
+    texts that near to each other share most of their shards, and lose none by the split but with a vanishing chance.
+    """
+    share = allowed_share(similarity)
+    width, keys = shard_plan(prints.count(), share)
+    radius = int(64 * words * share)
+    todo = prints.select(F.lit(0).cast("long").alias("key"), "node", "print")
+    found, seed = None, 1
+    while True:
+        dealt = todo.mapInArrow(_deal(words, width, keys, seed), "key long, node long, print binary")
+        sizes = dealt.groupBy("key").agg(F.count("*").alias("n"))
+        large = materialise(sizes.filter((F.col("n") > cap) & F.lit(seed < 12)).select("key"))
+        more = not large.isEmpty()
+        small = dealt.join(large, "key", "left_anti") if more else dealt
+        new = small.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_trees(radius), "a long, b long")
+        found = new if found is None else found.unionByName(new)
+        if not more:
+            return materialise(found.distinct())
+        todo, width, keys, seed = materialise(dealt.join(large, "key", "left_semi")), 8, 4, seed + 1
+
+
+def keep_unlike(docs: DataFrame, id_col: str = "doc_id", size: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
+    """One document of each group of texts that are alike: the one with the smallest id, then the smallest hash of its text; null ids come last.
+
+    Alike are texts whose shingle vectors are estimated, from ``64 * words`` bits of SimHash, to have the similarity
+    or more (Jaccard's, at equal lengths; 256 bits put its standard error near 0.03). Texts without words are alike.
+    """
+    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), text_bytes().alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(t.as_py(), size, words) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["__id", "text_hash", "print"])
+
+    kind = rows.schema["__id"].dataType.simpleString()
+    each = materialise(rows.mapInArrow(run, f"__id {kind}, text_hash long, print binary"))
+    each = each.withColumn("node", F.xxhash64("print"))
+    key = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("text_hash").alias("hash"))
+    distinct = each.groupBy("node").agg(F.first("print").alias("print"), F.min(key).alias("k"))
+    distinct = materialise(distinct)
+    roots = components(similar_links(distinct.filter(F.length("print") > 0).select("node", "print"), words, similarity))
+    named = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = named.groupBy("root").agg(F.min("k").alias("k")).select("k.*")
+    kept = with_key(first.select(F.col("id").alias(id_col), "hash", F.lit(None).cast("string").alias("text")), id_col)
+    return attach(docs, materialise(kept.select("__key", F.col("hash").alias("__hash"))), id_col).select(docs.columns)
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", size: int = 3, radius: int = 3) -> DataFrame:
     """One document of each group, the one with the smallest id (then the smallest hash of its text); null ids come last."""
     groups = near_duplicate_groups(docs, id_col, size, radius)

@@ -89,3 +89,56 @@ def test_tree_finds_what_a_scan_finds():
         tree.add(v)
     for q in range(0, 1 << 10, 37):
         assert sorted(tree.near(q)) == [i for i, v in enumerate(values) if (v ^ q).bit_count() <= 3]
+
+
+def test_wide_bits_are_majorities():
+    h = np.random.default_rng(2).integers(0, 1 << 63, 300).astype(np.uint64)
+    got = simhash.wide_majority(h, 3)
+    for k in range(3):
+        mixed = []
+        for x in map(int, h):
+            x ^= int(simhash._WORDS[k])
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+            mixed.append(x ^ x >> 31)
+        assert int(got[k]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > 300)
+
+
+def test_keep_unlike_against_shingle_sets(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id for r in simhash.keep_unlike(docs).select("doc_id").collect()}
+    sets = {r.doc_id: set(simhash.shingles(simhash.space_words(r.text.encode()), 5)) for r in docs.collect()}
+    ids, best = sorted(sets), dict.fromkeys(sets, 0.0)
+    for a in ids:
+        for b in ids:
+            if a < b:
+                j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+                best[a], best[b] = max(best[a], j), max(best[b], j)
+                assert j < 0.9 or not (a in kept and b in kept), (a, b, j)
+    gone = [i for i in ids if i not in kept]
+    assert gone and all(best[i] > 0.6 for i in gone)
+
+
+def test_keep_unlike_splits_hot_shards(spark):
+    """Hundreds of near copies in every shard: a small cap deals them on, and one document stays."""
+    rng = np.random.default_rng(8)
+    base = [f"word{i}" for i in range(400)]
+    rows = []
+    for k in range(150):
+        w = list(base)
+        w[int(rng.integers(400))] = f"other{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, " ".join(f"w{x}" for x in rng.integers(0, 5000, 80))) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = docs.rdd.map(lambda r: (r.doc_id, bytearray(simhash.wide_fingerprint(r.text.encode(), 5, 4)))).toDF("node long, print binary")
+    roots = {r.node: r.root for r in simhash.components(simhash.similar_links(prints, 4, cap=20)).collect()}
+    assert len({roots.get(k, k) for k in range(150)}) == 1 and all(roots.get(1000 + k, 1000 + k) == 1000 + k for k in range(50))
+    assert sorted(r.doc_id for r in simhash.keep_unlike(docs).collect()) == [0, *range(1000, 1050)]
+
+
+def test_keep_unlike_awkward(awkward, empty):
+    kept = simhash.keep_unlike(awkward)
+    assert kept.columns == awkward.columns
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert ids[1] == 1 and not ids[2] and not ids[10] and ids[4] == 1 and not ids[5] and ids[7] == 1 and max(ids.values()) == 1
+    assert simhash.keep_unlike(empty).count() == 0
