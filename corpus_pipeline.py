@@ -21,12 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash group.
-
-    Near copies here are what the contract of such operators asks for: shingles of five words,
-    and the fingerprints' radius of 3 bits, far within a similarity of 0.8.
-    """
-    return simhash.keep_first(docs, size=5, radius=3)
+    """Keeps one document of each group of near copies: shingles of five words, a similarity of 0.8 or more by wide SimHash."""
+    return simhash.keep_unlike(docs, size=5, similarity=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
