@@ -347,26 +347,39 @@ def _wide_trees(radius: int):
 def similar_links(prints: DataFrame, words: int, similarity: float = 0.8, cap: int = 512) -> DataFrame:
     """(a, b): links between ``node``s whose wide fingerprints differ in at most the share of bits that the similarity allows.
 
-    A shard holds the fingerprints that agree on a key of bits; every fingerprint has many keys. Shards over
-    ``cap`` are dealt on by further keys of 8 bits, several for each row, so no tree grows with a hot group:
-    texts that near to each other share most of their shards, and lose none by the split but with a vanishing chance.
+    A shard holds the fingerprints that agree on a key of bits; every fingerprint has many keys, long enough that
+    unlike texts seldom share one. A shard over ``cap`` is therefore a group of texts that are alike. Its rows are dealt
+    into parts of about ``cap``, anew in each of the shards that the group shares, and of every class that the
+    parts' trees find only the smallest goes on to the next round, until no shard is over ``cap``. Should the
+    representatives not get fewer, they are unlike, and further bits tell them apart.
     """
     share = allowed_share(similarity)
     width, keys = shard_plan(prints.count(), share)
-    radius = int(64 * words * share)
-    todo = prints.select(F.lit(0).cast("long").alias("key"), "node", "print")
-    found, seed = None, 1
-    while True:
-        dealt = todo.mapInArrow(_deal(words, width, keys, seed), "key long, node long, print binary")
-        sizes = dealt.groupBy("key").agg(F.count("*").alias("n"))
-        large = materialise(sizes.filter((F.col("n") > cap) & F.lit(seed < 12)).select("key"))
-        more = not large.isEmpty()
-        small = dealt.join(large, "key", "left_anti") if more else dealt
-        new = small.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_trees(radius), "a long, b long")
-        found = new if found is None else found.unionByName(new)
-        if not more:
-            return materialise(found.distinct())
-        todo, width, keys, seed = materialise(dealt.join(large, "key", "left_semi")), 8, 4, seed + 1
+    radius, kinds = int(64 * words * share), "key long, node long, print binary"
+
+    def trees(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_trees(radius), "a long, b long")
+
+    def split(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Rows of shards within the cap, and the others with their shard's count."""
+        large = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > cap))
+        if large.isEmpty():
+            return rows, None
+        return rows.join(large, "key", "left_anti"), materialise(rows.join(large, "key"))
+
+    small, hot = split(prints.select(F.lit(0).cast("long").alias("key"), "node", "print").mapInArrow(_deal(words, width, keys, 1), kinds))
+    found, turn = materialise(trees(small).distinct()), 1
+    while hot is not None:
+        part = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.ceil(F.col("n") / cap))
+        found = materialise(found.unionByName(trees(hot.select(F.xxhash64("key", part).alias("key"), "node", "print"))).distinct())
+        gone = components(found).filter("node <> root").select("node")
+        rows, before = materialise(hot.select("key", "node", "print").join(gone, "node", "left_anti").select("key", "node", "print")), hot.count()
+        turn += 1
+        if rows.count() > before / 2:
+            rows = materialise(rows.mapInArrow(_deal(words, 8, 4, turn), kinds))
+        small, hot = split(rows)
+        found = materialise(found.unionByName(trees(small)).distinct())
+    return found
 
 
 def keep_unlike(docs: DataFrame, id_col: str = "doc_id", size: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:

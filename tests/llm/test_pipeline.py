@@ -2,16 +2,17 @@ import corpus_pipeline
 from panelforge.llm import fm_index, quality, simhash
 
 
+def held(spark, df):
+    return spark.createDataFrame(df.collect(), schema=df.schema)
+
+
 def test_stages_against_their_parts(spark, sf):
     """Every stage's decisions take effect on all rows of the one before it."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    names = docs.columns
-    out, kept = {}, docs
+    names, out, kept = docs.columns, {}, docs
     for name, stage in corpus_pipeline.STAGES:
-        kept = spark.createDataFrame(stage(spark, kept, sf).collect(), schema=stage(spark, kept, sf).schema)
-        out[name] = kept
-        if name != "sharding":
-            assert kept.columns == names
+        out[name] = kept = held(spark, stage(spark, kept, sf))
+        assert name == "sharding" or kept.columns == names
     ids = lambda df: [r.doc_id for r in df.select("doc_id").collect()]
     scored = {r.doc_id: r.predicted for r in quality.rank_documents(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
     assert sorted(ids(out["quality"])) == sorted(i for i, p in scored.items() if p)
@@ -24,13 +25,13 @@ def test_stages_against_their_parts(spark, sf):
     assert all(after[i].text == t for i, t in before.items() if i not in hit)
     assert all(r.n_chars == len(r.text) for r in after.values())
     assert fm_index.contamination(out["decontamination"], items).filter("size(hit_spans) > 0").count() == 0
-    assert max(ids(out["mixing"]).count(i) for i in set(ids(out["mixing"]))) <= 3
-    assert sorted(ids(out["sharding"])) == sorted(ids(out["mixing"]))
+    mixed = ids(out["mixing"])
+    assert max(mixed.count(i) for i in set(mixed)) <= 3 and sorted(ids(out["sharding"])) == sorted(mixed)
 
 
 def test_empty_and_awkward(spark, sf, awkward, empty):
     for docs in (awkward, empty):
         kept = docs
-        for name, stage in corpus_pipeline.STAGES:
-            kept = spark.createDataFrame(stage(spark, kept, sf).collect(), schema=stage(spark, kept, sf).schema)
+        for _, stage in corpus_pipeline.STAGES:
+            kept = held(spark, stage(spark, kept, sf))
         assert kept.count() >= 0
