@@ -694,7 +694,7 @@ def export_rows(spark: SparkSession, d: str) -> DataFrame:
     return p.select("month", months.month_end(F.col("month")).alias("date"), F.col("NDX").alias("ndx_px"), F.col("SPX").alias("spx_px"), F.col("ndx_pe"), F.col("spx_pe"), F.lit(None).cast("double").alias("ndx_eps"), F.lit(None).cast("double").alias("spx_eps"), F.lit(None).cast("double").alias("ndx_tr"), F.lit(None).cast("double").alias("spx_tr"), F.lit(None).cast("double").alias("ndx_pe_fwd"), F.lit(None).cast("double").alias("spx_pe_fwd"))
 
 
-@query("o1_import_text", with_() + f" select month, strftime(last_day(cast(month || '-01' as date)), '%Y-%m-%d') as date, {rr('NDX SPX ndx_pe', 7).replace('as NDX', 'as ndx_px').replace('as SPX', 'as spx_px')} from hist", 7)
+@query("o1_import_text", with_() + f" select month, strftime(last_day(cast(month || '-01' as date)), '%Y-%m-%d') as date, {rr('NDX SPX ndx_pe').replace('as NDX', 'as ndx_px').replace('as SPX', 'as spx_px')} from hist")
 def import_text(spark, d):
     """The panel written as semicolon text with decimal commas and day-first dates, and parsed again."""
     p = panel(spark, d)
