@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm import fm_index, hilbert, mixing, quality, simhash
 from panelforge.llm.common import shared_dir, table
+from panelforge.session import reach
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +41,16 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return hilbert.sharded(docs, shards=24)
 
 
+def _reaching(stage):
+    return lambda spark, docs, sf_dir: stage(reach(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("quality", quality_stage),
-    ("simhash_dedup", dedup_stage),
-    ("decontamination", decontamination_stage),
-    ("mixing", mixing_stage),
-    ("sharding", sharding_stage),
+    ("quality", _reaching(quality_stage)),
+    ("simhash_dedup", _reaching(dedup_stage)),
+    ("decontamination", _reaching(decontamination_stage)),
+    ("mixing", _reaching(mixing_stage)),
+    ("sharding", _reaching(sharding_stage)),
 ]
 
 #: A trained model, fingerprints and an index: no SQL gives these rows; tests/llm compares them with brute force.
