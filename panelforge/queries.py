@@ -726,3 +726,91 @@ def clipped(spark, d):
 def daily_last(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+
+
+# ---- SQL of the solvers: the same geometry as candidate rows
+def _quad(q: str, x: str, y: str) -> str:
+    """x'Qy for vectors of columns x1..x3, y1..y3 and a symmetric matrix q11..q33."""
+    return " + ".join(f"{q}{min(i, j)}{max(i, j)} * {x}{i} * {y}{j}" for i in (1, 2, 3) for j in (1, 2, 3))
+
+
+def iso_sql(source: str = "iso_in", p: str = "") -> list[str]:
+    """CTEs that end in {p}iso (id, w1..w3, mean, vol, te; one row an id, nulls where infeasible) from rows (id, m1..m3, s11..s33, vcap2, te2)."""
+    lines = [
+        f"select id, k, cap, true as edge, q11, q12, q13, q22, q23, q33, v.* from {p}cons, (values (1.0::double, 0.0::double, 0.0::double, -1.0::double, 1.0::double, 0.0::double), (1, 0, 0, -1, 0, 1), (0, 1, 0, 0, -1, 1)) v(p1, p2, p3, d1, d2, d3)",
+        f"select id, k, cap, false, q11, q12, q13, q22, q23, q33, y1, y2, 1 - y1 - y2, e1, e2, -e1 - e2 from {p}ext",
+        f"select i.id, 1, vcap2, false, s11, s12, s13, s22, s23, s33, (h - s22) / (s12 - s22), 1 - (h - s22) / (s12 - s22), 0.0, s23 - s22, s12 - s23, s22 - s12 from (select *, (s22 + vcap2 - te2) / 2 as h from {source}) i where te2 is not null and s12 <> s22",
+    ]
+    return [
+        f"{p}cons as (select id, m1, m2, m3, 1 as k, vcap2 as cap, s11 as q11, s12 as q12, s13 as q13, s22 as q22, s23 as q23, s33 as q33 from {source} union all select id, m1, m2, m3, 2, te2, s11 - 2 * s12 + s22, 0.0, s13 - s12 - s23 + s22, 0.0, 0.0, s33 - 2 * s23 + s22 from {source} where te2 is not null)",
+        f"{p}h as (select *, q11 - 2 * q13 + q33 as h11, q12 - q13 - q23 + q33 as h12, q22 - 2 * q23 + q33 as h22, q13 - q33 as g1, q23 - q33 as g2 from {p}cons)",
+        f"{p}ext as (select *, -(h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) as y1, -(h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) as y2, (h22 * (m1 - m3) - h12 * (m2 - m3)) / (h11 * h22 - h12 * h12) as e1, (h11 * (m2 - m3) - h12 * (m1 - m3)) / (h11 * h22 - h12 * h12) as e2 from {p}h where h11 * h22 - h12 * h12 <> 0)",
+        f"{p}lines as ({' union all '.join(lines)})",
+        f"{p}abc as (select *, {_quad('q', 'd', 'd')} as qa, {_quad('q', 'p', 'd')} as qb, {_quad('q', 'p', 'p')} - cap as qc from {p}lines)",
+        f"{p}roots as (select id, edge, p1, p2, p3, d1, d2, d3, (-qb + sg * sqrt(qb * qb - qa * qc)) / qa as t from {p}abc, (values (1.0), (-1.0)) v(sg) where qa > 0 and qb * qb - qa * qc >= 0)",
+        f"{p}cand as (select id, v.w1, v.w2, v.w3 from {source}, (values (1.0::double, 0.0::double, 0.0::double), (0, 1, 0), (0, 0, 1)) v(w1, w2, w3) union all select id, p1 + x * d1, p2 + x * d2, p3 + x * d3 from (select *, case when edge then least(1.0, greatest(0.0, t)) else t end as x from {p}roots where not edge or (t >= -1e-12 and t <= 1 + 1e-12)))",
+        f"{p}okay as (select c.* from {p}cand c where least(w1, w2, w3) >= -1e-12 and not exists (select 1 from {p}cons q where q.id = c.id and not ({_quad('q.q', 'c.w', 'c.w')} - q.cap <= 1e-12)))",
+        f"{p}clean as (select id, greatest(w1, 0) / s as w1, greatest(w2, 0) / s as w2, greatest(w3, 0) / s as w3 from (select *, greatest(w1, 0) + greatest(w2, 0) + greatest(w3, 0) as s from {p}okay))",
+        f"{p}valued as (select c.*, w1 * m1 + w2 * m2 + w3 * m3 as mean, {_quad('s', 'w', 'w')} as var, (s12 * w1 + s22 * w2 + s23 * w3) as aw, s22 from {p}clean c join {source} using (id))",
+        f"{p}best as (select *, row_number() over (partition by id order by round(mean, 12) desc, var) as rk from {p}valued)",
+        f"{p}iso as (select i.id, w1, w2, w3, mean, case when w1 is not null then sqrt(greatest(var, 0)) end as vol, case when w1 is not null then sqrt(greatest(var - 2 * aw + b.s22, 0)) end as te from {source} i left join {p}best b on b.id = i.id and b.rk = 1)",
+    ]
+
+
+def _iso_in(rows: str, key: str, te: str = "0.05", name: str = "iso_in") -> str:
+    cov = ", ".join(f"12 * covar_samp(r_{a}, r_{b}) as s{i}{j}" for i, a in enumerate(S.ASSETS, 1) for j, b in enumerate(S.ASSETS, 1) if j >= i)
+    mu = ", ".join(f"12 * avg(r_{a}) as m{i}" for i, a in enumerate(S.ASSETS, 1))
+    return f"{name}0 as (select {key} as id, {mu}, {cov} from {rows} group by {key}), {name} as (select *, s22 as vcap2, pow({te}, 2) as te2 from {name}0)"
+
+
+_W = "round(w1, 8) + 0.0 as w_ndx, round(w2, 8) + 0.0 as w_spx, round(w3, 8) + 0.0 as w_ust"
+_MODEL = f"{_W}, round(mean, 8) + 0.0 as mu, round(vol, 8) + 0.0 as vol, round(te, 8) + 0.0 as te"
+_CAPS = "(values (0.02::double), (0.03), (0.04), (0.05), (0.08), (0.12)) v(te_cap)"
+
+ORACLE_SQL["l12_iso_vol_te"] = with_(sample_sql(), "one as (select 1 as g, * from smp)", _iso_in("one", "g"), *iso_sql()) + f" select {_MODEL}, case when w1 is null then 'infeasible' else 'ok' end as status from iso"
+ORACLE_SQL["l12_iso_vol_path"] = with_(sample_sql(), f"one as (select te_cap as g, smp.* from smp, {_CAPS})", _iso_in("one", "g", "id"), *iso_sql()) + f" select id as te_cap, {_MODEL} from iso where w1 is not null"
+ORACLE_SQL["m7_bootstrap_rule"] = with_(*_DRAW, "rs as (select b, r_ndx, r_spx, r_ust from idx join smp using (t))", _iso_in("rs", "b"), *iso_sql()) + f" select id as b, {_MODEL}, case when w1 is null then 'infeasible' else 'ok' end as status from iso"
+ORACLE_SQL["f11_draws_summary"] = (
+    with_(*_DRAW, "rs as (select b, r_ndx, r_spx, r_ust from idx join smp using (t))", _iso_in("rs", "b"), *iso_sql())
+    + " select count(w1) as n_feasible, " + ", ".join([r(f"quantile_cont(w{i}, {q})", f"w_{a}_p{round(100 * q)}") for i, a in enumerate(S.ASSETS, 1) for q in (0.1, 0.5, 0.9)] + [r(f"avg(w{i})", f"w_{a}_mean") for i, a in enumerate(S.ASSETS, 1)])
+    + ", " + ", ".join(r(f"avg(case when w1 is not null then ({c})::int end)", n) for n, c in (("p_ust_over_50", "w3 > 0.5"), ("p_spx_under_1", "w2 < 0.01"), ("p_corner", "greatest(w1, w2, w3) >= 0.99")))
+    + ", " + r("avg((w1 is null)::int)", "p_infeasible") + " from iso"
+)
+_WALK = [sample_sql(), f"win as (select month as tau, t - {LOOKBACK} as lo, t - 1 as hi from smp where t = {LOOKBACK + 1} or (month like '%-01' and t > {LOOKBACK}))", "est as (select tau, smp.* from win join smp on t between lo and hi)", _iso_in("est", "tau"), *iso_sql(), "wts as (select id as tau, coalesce(w1, 0.0) as w1, coalesce(w2, 1.0) as w2, coalesce(w3, 0.0) as w3, w1 is null as infeasible from iso)"]
+ORACLE_SQL["m8_walk_forward_weights"] = with_(*_WALK) + f" select tau, {_W}, infeasible from wts"
+ORACLE_SQL["m8_walk_forward"] = (
+    with_(*_WALK, "held as (select s.*, w1, w2, w3 from smp s asof join wts on s.month >= wts.tau)",
+          "ser as (" + " union all ".join(f"select '{k}' as series, row_number() over (order by month) as t, month, {e} as r, rf from held" for k, e in {"rule": "w1 * r_ndx + w2 * r_spx + w3 * r_ust", **{k: f"{w[0]} * r_ndx + {w[1]} * r_spx + {w[2]} * r_ust" for k, w in solvers.REFERENCES.items()}}.items()) + ")", path_sql())
+    + f" select {STAT_COLS}, case when n >= 36 then 'ok' else 'insufficient' end as status from stats"
+)
+
+
+def _face(number: int, z: tuple[str, str, str]) -> str:
+    return f"select k, c, {number} as face, {z[0]} as z1, {z[1]} as z2, {z[2]} as z3 from g"
+
+
+def _tangency_sql() -> str:
+    x = {i: f"(m{i} - c)" for i in (1, 2, 3)}
+    zero, faces = "0.0::double", []
+    for n, i in enumerate((1, 2, 3)):
+        faces.append(_face(n, tuple("1.0::double" if j == i else zero for j in (1, 2, 3))))
+    for n, (i, j) in enumerate(((1, 2), (1, 3), (2, 3)), 3):
+        det = f"(s{i}{i} * s{j}{j} - s{i}{j} * s{i}{j})"
+        z = {i: f"(s{j}{j} * {x[i]} - s{i}{j} * {x[j]}) / {det}", j: f"(s{i}{i} * {x[j]} - s{i}{j} * {x[i]}) / {det}"}
+        faces.append(_face(n, tuple(z.get(k, zero) for k in (1, 2, 3))))
+    adj = {(1, 1): "(s22 * s33 - s23 * s23)", (1, 2): "(s13 * s23 - s12 * s33)", (1, 3): "(s12 * s23 - s13 * s22)", (2, 2): "(s11 * s33 - s13 * s13)", (2, 3): "(s12 * s13 - s11 * s23)", (3, 3): "(s11 * s22 - s12 * s12)"}
+    det = f"(s11 * {adj[1, 1]} + s12 * {adj[1, 2]} + s13 * {adj[1, 3]})"
+    faces.append(_face(6, tuple("(" + " + ".join(f"{adj[min(i, j), max(i, j)]} * {x[j]}" for j in (1, 2, 3)) + f") / {det}" for i in (1, 2, 3))))
+    return with_(
+        sample_sql(), "one as (select 1 as g, * from smp)", _iso_in("one", "g"),
+        "g as (select i.*, k::bigint as k, -0.05 + k * 0.005 as c from iso_in i, range(27) v(k))",
+        f"faces as ({' union all '.join(faces)})",
+        "w as (select k, c, face, greatest(z1, 0) as w1, greatest(z2, 0) as w2, greatest(z3, 0) as w3 from faces where z1 + z2 + z3 > 0 and least(z1, z2, z3) / (z1 + z2 + z3) >= -1e-10)",
+        "u as (select w.k, face, w1 / (w1 + w2 + w3) as w1, w2 / (w1 + w2 + w3) as w2, w3 / (w1 + w2 + w3) as w3 from w)",
+        f"v as (select u.*, g.c, w1 * m1 + w2 * m2 + w3 * m3 as mean, {_quad('s', 'w', 'w')} as var, s12 * w1 + s22 * w2 + s23 * w3 as aw, s22 from u join g using (k))",
+        "b as (select *, (mean - c) / sqrt(var) as slope, row_number() over (partition by k order by round((mean - c) / sqrt(var), 12) desc, face) as rk from v where mean > c)",
+        f"o as (select g.k, g.c, case when b.k is null then 'no-premium' else 'ok' end as status, w1, w2, w3, mean, sqrt(var) as vol, case when b.k is not null then sqrt(greatest(var - 2 * aw + b.s22, 0)) end as te, slope from g left join b on b.k = g.k and b.rk = 1)",
+    ) + f" select k, {r('c::double', 'c')}, status, {_MODEL}, {r('slope', 'slope')} from o"
+
+
+ORACLE_SQL["l5_tangency_path"] = _tangency_sql()
