@@ -344,14 +344,65 @@ def _wide_trees(radius: int):
     return run
 
 
+def _crossing(radius: int):
+    """Rows (key, side, class, print) come sorted by key: of each key, every row of side 1 is compared with every one of side 2; links between the classes that meet."""
+
+    def links(side: np.ndarray, kind: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
+        one, two = side == 1, side == 2
+        met = set()
+        for at in range(0, int(one.sum()), 256):
+            own, own_kind = prints[one][at : at + 256], kind[one][at : at + 256]
+            apart = np.zeros((len(own), int(two.sum())), np.uint16)
+            for w in range(prints.shape[1]):
+                apart += np.bitwise_count(own[:, w, None] ^ prints[two][None, :, w])
+            i, j = np.nonzero((apart <= radius) & (own_kind[:, None] != kind[two][None, :]))
+            if len(i):
+                met |= set(map(tuple, np.unique(np.stack([own_kind[i], kind[two][j]], axis=1), axis=0).tolist()))
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for x, y in sorted(met):
+            if root(x) != root(y):
+                parent[root(x)] = root(y)
+                out.append((x, y))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if parts and (out := links(*(np.concatenate(x) for x in zip(*parts, strict=True)))):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, side, kind = (batch.column(i).to_numpy() for i in range(3))
+            prints = np.frombuffer(b"".join(x.as_py() for x in batch.column(3)), "<u8").reshape(batch.num_rows, -1)
+            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if keys[a] != last:
+                    yield from flush()
+                    last, parts = keys[a], []
+                parts.append((side[a:b], kind[a:b], prints[a:b]))
+        yield from flush()
+
+    return run
+
+
 def similar_links(prints: DataFrame, words: int, similarity: float = 0.8, cap: int = 512) -> DataFrame:
     """(a, b): links between ``node``s whose wide fingerprints differ in at most the share of bits that the similarity allows.
 
     A shard holds the fingerprints that agree on a key of bits; every fingerprint has many keys, long enough that
-    unlike texts seldom share one. A shard over ``cap`` is therefore a group of texts that are alike. Its rows are dealt
-    into parts of about ``cap``, anew in each of the shards that the group shares, and of every class that the
-    parts' trees find only the smallest goes on to the next round, until no shard is over ``cap``. Should the
-    representatives not get fewer, they are unlike, and further bits tell them apart.
+    unlike texts seldom share one. Rows of a shard over ``cap`` are first searched in parts of about ``cap``, dealt anew in
+    each shard, which joins most of a group. Pairs within one class need no comparison after that; all others of such
+    a shard are compared: the rows outside its largest class with all its rows, in blocks of bounded size. So the links
+    connect the same classes as all pairs that share a key and are within the radius.
     """
     share = allowed_share(similarity)
     width, keys = shard_plan(prints.count(), share)
@@ -360,26 +411,30 @@ def similar_links(prints: DataFrame, words: int, similarity: float = 0.8, cap: i
     def trees(rows: DataFrame) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_trees(radius), "a long, b long")
 
-    def split(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        """Rows of shards within the cap, and the others with their shard's count."""
-        large = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > cap))
-        if large.isEmpty():
-            return rows, None
-        return rows.join(large, "key", "left_anti"), materialise(rows.join(large, "key"))
-
-    small, hot = split(prints.select(F.lit(0).cast("long").alias("key"), "node", "print").mapInArrow(_deal(words, width, keys, 1), kinds))
-    found, turn = materialise(trees(small).distinct()), 1
-    while hot is not None:
-        part = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.ceil(F.col("n") / cap))
-        found = materialise(found.unionByName(trees(hot.select(F.xxhash64("key", part).alias("key"), "node", "print"))).distinct())
-        gone = components(found).filter("node <> root").select("node")
-        rows, before = materialise(hot.select("key", "node", "print").join(gone, "node", "left_anti").select("key", "node", "print")), hot.count()
-        turn += 1
-        if rows.count() > before / 2:
-            rows = materialise(rows.mapInArrow(_deal(words, 8, 4, turn), kinds))
-        small, hot = split(rows)
-        found = materialise(found.unionByName(trees(small)).distinct())
-    return found
+    dealt = prints.select(F.lit(0).cast("long").alias("key"), "node", "print").mapInArrow(_deal(words, width, keys, 1), kinds)
+    large = materialise(dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > cap))
+    if large.isEmpty():
+        return materialise(trees(dealt).distinct())
+    found = materialise(trees(dealt.join(large, "key", "left_anti")).distinct())
+    hot = materialise(dealt.join(large, "key"))
+    part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / cap))
+    found = materialise(found.unionByName(trees(hot.select(F.xxhash64("key", part).alias("key"), "node", "print"))).distinct())
+    classes = components(found).select("node", F.col("root").alias("class"))
+    rows = materialise(hot.select("key", "node", "print").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")))
+    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("m"))
+    shards = sizes.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "class")).alias("main")).filter("n > main.m")
+    block = 4 * cap
+    shards = materialise(shards.select("key", F.col("main.class").alias("main"), F.ceil((F.col("n") - F.col("main.m")) / block).alias("across"), F.ceil(F.col("n") / block).alias("down")))
+    if shards.isEmpty():
+        return found
+    rows = rows.join(shards, "key")
+
+    def side(rows: DataFrame, number: int, own: str, other: str) -> DataFrame:
+        rows = rows.select("key", "class", "print", F.pmod(F.xxhash64("node", "key", F.lit(number)), F.col(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other))
+        return rows.select(F.xxhash64("key", "across", "down").alias("key"), F.lit(number).alias("side"), "class", "print")
+
+    blocks = side(rows.filter("class <> main"), 1, "across", "down").unionByName(side(rows, 2, "down", "across"))
+    return materialise(found.unionByName(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_crossing(radius), "a long, b long")).distinct())
 
 
 def keep_unlike(docs: DataFrame, id_col: str = "doc_id", size: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:

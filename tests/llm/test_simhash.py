@@ -136,6 +136,21 @@ def test_keep_unlike_splits_hot_shards(spark):
     assert sorted(r.doc_id for r in simhash.keep_unlike(docs).collect()) == [0, *range(1000, 1050)]
 
 
+def test_hot_shards_lose_no_link(spark):
+    """Variants that are near their original but not near each other hang together by one row of a hot shard."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2, 256)
+    rows = [(1000, bytearray(np.packbits(base).tobytes()))]
+    for k in range(1, 301):
+        bits = base.copy()
+        bits[rng.choice(256, 30, replace=False)] ^= 1
+        rows.append((k, bytearray(np.packbits(bits).tobytes())))
+    prints = spark.createDataFrame(rows, "node long, print binary")
+    whole = {r.node: r.root for r in simhash.components(simhash.similar_links(prints, 4, cap=1000)).collect()}
+    cut = {r.node: r.root for r in simhash.components(simhash.similar_links(prints, 4, cap=20)).collect()}
+    assert cut == whole and len(set(cut.values())) == 1 and len(cut) > 295
+
+
 def test_keep_unlike_awkward(awkward, empty):
     kept = simhash.keep_unlike(awkward)
     assert kept.columns == awkward.columns
