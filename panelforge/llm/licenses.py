@@ -55,7 +55,7 @@ class Notice:
         self.edits = max(1, n // 12) if n >= 10 else 0
         cuts = [n * i // (self.edits + 1) for i in range(self.edits + 2)]
         self.seeds = [(a, self.text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.pattern = regex.compile(b"(?b)(?:" + regex.escape(self.text, literal_spaces=True) + b"){e<=%d}" % self.edits)
+        self.pattern = regex.compile(b"(?b) (?! )(?:" + regex.escape(self.text, literal_spaces=True) + b"){e<=%d}(?<! )(?= )" % self.edits)
 
     def spans(self, line: bytes) -> list[tuple[int, int, int]]:
         """(from, to, edits) of matches in a line of words with a space at both ends; the best of those that overlap."""
@@ -63,18 +63,12 @@ class Notice:
         for offset, seed in self.seeds:
             at = line.find(seed)
             while at >= 0:
-                begin = max(0, at - offset - k)
+                begin = max(0, at - offset - k - 1)
                 if begin not in tried:
                     tried.add(begin)
-                    end = min(len(line), at - offset + n + k)
+                    end = min(len(line), at - offset + n + k + 1)  # with the space on either side
                     for m in self.pattern.finditer(line, begin, end, overlapped=True):
-                        a, b, d = m.start(), m.end(), sum(m.fuzzy_counts)
-                        while a < b and line[a] == 32:
-                            a += 1
-                        while b > a and line[b - 1] == 32:
-                            b -= 1
-                        if b > a and line[a - 1] == 32 and line[b] == 32:
-                            found.append((d, a, b))
+                        found.append((sum(m.fuzzy_counts), m.start() + 1, m.end()))
                 at = line.find(seed, at + 1)
         best: list[tuple[int, int, int]] = []
         for d, a, b in sorted(found):

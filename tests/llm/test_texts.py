@@ -59,6 +59,12 @@ def test_license_seeds_miss_nothing(phrase, seed):
     assert notice.spans(line)
 
 
+def test_license_whose_last_word_goes_on():
+    """The edit that ends with the word counts, although the notice stands there without one."""
+    for text, label in ((b"mit licensed", "mit"), (b"see the MIT licenses today", "mit"), (b"apache licensed here", "apache"), (b"xmit license", "mit")):
+        assert [(x, d) for x, _, _, d in licenses.scan(text)["spans"]] == [(label, 1)], text
+
+
 def test_license_awkward(awkward, empty):
     rows = licenses.scan_documents(awkward).collect()
     assert len(rows) == awkward.count()
