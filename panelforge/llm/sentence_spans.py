@@ -1,11 +1,12 @@
 """Substring dedup by sliding spans of sentences.
 
 A text is cut into sentences: after a word that ends in ``.``, ``!`` or ``?``, and at line breaks. Sentences of over
-``LONG`` words are cut further, after words that a fixed rule on the word itself picks, so that a
-passage is cut alike wherever it stands. From every sentence starts one span: the shortest run of
+``LONG`` words are cut further, after the word with the least hash (the last of equals) of every ``WINDOW``
+consecutive words, so that a passage is cut alike wherever it stands, in pieces of ``WINDOW`` words at most. From every sentence starts one span: the shortest run of
 consecutive sentences with at least ``least_sentences`` of them and ``least_words`` words. Spans are hashed (lower case, single
 spaces) and joined globally; the first span of a hash, in the order of document and place, stays, and
-the sentences covered by any other one are removed. A passage of 50 words holds such a span whole, while shorter stock phrases don't.
+the sentences covered by any other one are removed. Any 50 words, punctuated or not,
+hold such a span whole, while shorter stock phrases don't.
 
 Only hashes, ids and places are shuffled for the join; hot hashes are aggregated before the shuffle,
 and the join of a hot hash's spans with its one first place can be split (skew join). Whole texts move
@@ -28,6 +29,8 @@ from pyspark.sql import types as T
 from .common import materialise, text_bytes, with_key
 
 LONG = 12
+#: A cut within every so many words: 8 is the widest window with which any 50 words hold a span.
+WINDOW = 8
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, bool)
@@ -63,7 +66,13 @@ def sentences(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sentence_end = np.flatnonzero(stop)
     sentence = np.concatenate([[0], np.cumsum(stop)[:-1]])
     size = np.diff(sentence_end, prepend=-1)
-    picked = (data[starts].astype(np.int64) * 31 + last * 17 + (ends - starts) * 7) % 10 == 0
+    low = np.frombuffer(raw.lower(), np.uint8)
+    upto = np.concatenate([[0], np.cumsum(low, dtype=np.uint64)])
+    mixed = (upto[ends] - upto[starts]).astype(np.uint64) * np.uint64(_ODD) ^ (low[starts].astype(np.uint64) << np.uint64(16) | low[ends - 1].astype(np.uint64) << np.uint64(8)) * np.uint64(0xC2B2AE3D27D4EB4F) ^ (ends - starts).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
+    picked = np.zeros(n, bool)
+    if n >= WINDOW:
+        least = WINDOW - 1 - np.lib.stride_tricks.sliding_window_view(mixed, WINDOW)[:, ::-1].argmin(axis=1)
+        picked[np.arange(len(least)) + least] = True
     at = np.flatnonzero(stop | (picked & (size[sentence] > LONG)))
     words = np.diff(at, prepend=-1)
     first = np.concatenate([[0], at[:-1] + 1])

@@ -93,6 +93,20 @@ def test_repeated_passages_go_and_the_rest_stays(spark):
             assert len(got[i].text) <= len(t) - 0.8 * len(shared) and got[i].text[:40] == t[:40] and got[i].text[-30:] == t[-30:]
 
 
+def test_any_fifty_words_hold_a_span():
+    """The same 50 words in two contexts share a span, without punctuation, on a line of their own or cut mid-sentence."""
+    rng = random.Random(9)
+
+    def draw(n, stops):
+        return " ".join(rng.choice(["al", "be", "ga", "de", "ep"]) + str(rng.randint(0, 99)) + ("." if rng.random() < stops else "") for _ in range(n))
+
+    for k in range(600):
+        stops, gap = rng.choice([0, 0, 0.05, 0.1]), rng.choice([" ", "\n"])
+        own = draw(50, stops)
+        one, two = ({*sentence_spans.spans((draw(rng.randint(0, 30), stops) + gap + own + gap + draw(rng.randint(0, 30), stops)).encode())[0].tolist()} for _ in range(2))
+        assert one & two, (k, own)
+
+
 def test_spans_against_brute_force(spark, sf):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
     seen, removed = {}, {}
