@@ -501,7 +501,7 @@ def feasible(spark, d):
 
 @query("l4_frontier")
 def frontier(spark, d):
-    return solvers.frontier(_moments(spark, d), [], 41)
+    return solvers.frontier(_moments(spark, d), [], 121)
 
 
 @query("l5_tangency_path")
@@ -511,7 +511,7 @@ def tangency_path(spark, d):
 
 @query("l7_thresholds")
 def thresholds(spark, d):
-    return solvers.thresholds(_moments(spark, d), -0.05, 0.08, 0.005)
+    return solvers.thresholds(_moments(spark, d), -0.05, 0.08, 0.0005)
 
 
 @query("l6_implied_intercept")
