@@ -13,7 +13,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,12 +23,14 @@ ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master, whose executors see the driver's disk, gets one of our own where that is unset."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
     sc = spark.sparkContext
     if not (made := sc._jsc.sc().getCheckpointDir()).isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelforge-"))
         made = sc._jsc.sc().getCheckpointDir()
     return made.get().rstrip("/")
@@ -62,10 +64,14 @@ def alnum_words(text: bytes) -> list[bytes]:
     return text.translate(ALNUM).split()
 
 
+def key_of(id_col: str) -> Column:
+    """The id as text, null told apart."""
+    return F.when(F.col(id_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(id_col).cast("string")))
+
+
 def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds ``__key`` (the id as text, null told apart) and ``__hash`` (of the text): together they name a document."""
-    key = F.when(F.col(id_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(id_col).cast("string")))
-    return docs.withColumn("__key", key).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.withColumn("__key", key_of(id_col)).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def attach(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,8 +85,14 @@ def attach(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     return rows.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__key", "__hash", "__nth")
 
 
-def ordered_positions(rows: DataFrame, order: list[str], sums: list[str] = ()) -> DataFrame:
-    """Adds ``position`` (0-based in the total order of ``order``) and, for each column of ``sums``, ``before_<column>``: its sum over earlier rows.
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this package wrote, through whatever file system holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def ordered_positions(rows: DataFrame, order: list[str | Column], sums: list[str] = ()) -> DataFrame:
+    """Adds ``position`` (0-based in the total order of ``order``) and, for each column of ``sums`` (long or double), ``before_<column>``: its sum over earlier rows.
 
     Rows are range-partitioned and sorted, each partition counts its own rows, and the partitions'
     totals (one row each) are cumulated: no task sees more than its range. Rows that tie in every
@@ -91,17 +103,18 @@ def ordered_positions(rows: DataFrame, order: list[str], sums: list[str] = ()) -
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = rows.columns
     extra = ["__part", "position", *(f"before_{c}" for c in sums)]
-    schema = T.StructType([*rows.schema.fields, T.StructField("__part", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in extra[1:])])
+    schema = T.StructType([*rows.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("position", T.LongType()), *(T.StructField(f"before_{c}", rows.schema[c].dataType) for c in sums)])
+    kinds = {c: np.float64 if isinstance(rows.schema[c].dataType, T.DoubleType) else np.int64 for c in sums}
 
     def count(batches):
         part, at, told = TaskContext.get().partitionId(), 0, dict.fromkeys(sums, 0)
         for b in batches:
             new = [pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(at, at + b.num_rows, dtype=np.int64))]
             for c in sums:
-                values = b.column(names.index(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                values = b.column(names.index(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(kinds[c])
                 upto = np.cumsum(values)
                 new.append(pa.array(told[c] + upto - values))
-                told[c] += int(upto[-1]) if len(upto) else 0
+                told[c] += upto[-1].item() if len(upto) else 0
             at += b.num_rows
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*names, *extra])
 

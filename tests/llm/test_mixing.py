@@ -39,21 +39,35 @@ def test_query_meets_targets(spark, sf):
 def test_capped_sources_give_their_share_away(spark):
     rows = [(i, "w " * 10, "big" if i < 90 else "tiny" if i < 93 else None) for i in range(95)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.source: r for r in mixing.source_targets(mixing.schedule(docs).select("source", "size")).collect()}
+    got = {r.source: r for r in mixing.schedule(docs).collect()}
     assert got["tiny"].target == 90 and got[None].target == 60 and got["big"].target == pytest.approx(950 - 150)
 
 
-def test_stream_is_the_schedule(spark, sf):
+def test_the_truncated_stream_is_in_order_and_full(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    planned = mixing.schedule(docs).cache()
-    mixed = mixing.stream(planned).collect()
-    assert [r.virtual_finish for r in mixed] == sorted(r.virtual_finish for r in mixed)
+    mixed, cut = mixing.stream(mixing.queues(docs).cache())
+    rows = sorted(mixed.collect(), key=lambda r: r.position)
+    assert [r.virtual_finish for r in rows] == sorted(r.virtual_finish for r in rows)
+    assert all(r.virtual_start < cut + 1 and r.virtual_finish > r.virtual_start for r in rows)
+    assert all(r.words == r.size for r in rows if r.virtual_finish < cut - 1)
+    late = [r for r in rows if r.virtual_finish > cut + 1]  # in service at the cut: one a source at most
+    assert len({r.source for r in late}) == len(late)
     words = {}
-    for r in mixed:
-        words[r.doc_id] = words.get(r.doc_id, 0) + r.words
-    assert words == {r.doc_id: r.taken for r in planned.collect() if r.taken}
-    cut = planned.agg({"cut": "max"}).first()[0]
-    assert all(r.virtual_start < cut + 1 for r in mixed)
+    for r in rows:
+        words[r.id] = words.get(r.id, 0) + r.words
+    planned = mixing.schedule(docs).collect()
+    assert words == {r.doc_id: r.taken for r in planned if r.taken}
+    assert sum(words.values()) == pytest.approx(sum(r.size for r in planned), abs=len({r.source for r in planned}))
+
+
+def test_budgets(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "ab"[i % 5 == 0]) for i in range(60)], "doc_id long, text string, source string")
+    for budget in (0.0, 0.1, 0.5, 1.5, 2.9, 4.0):
+        rows = mixing.schedule(docs, budget=budget).collect()
+        sizes = {s: sum(r.size for r in rows if r.source == s) for s in "ab"}
+        want = water_fill(sizes, {"a": 1, "b": 2}, min(budget, 3) * sum(sizes.values()))
+        for s in "ab":
+            assert abs(sum(r.taken for r in rows if r.source == s) - want[s]) <= 1, (budget, s)
 
 
 def test_awkward_rows(awkward, empty):
