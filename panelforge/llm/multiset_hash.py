@@ -4,7 +4,7 @@ Every paragraph (line with anything in it) is hashed to a wide vector; a documen
 sum of its paragraphs' vectors, each lane modulo a power of two. Sums don't depend on order, so texts with the
 same paragraphs in any order are equal; a paragraph is inserted or deleted by adding or subtracting its
 vector, without the rest of the text. Lanes are of two kinds: ``UNIFORM`` lanes of 32 random bits make
-unequal multisets differ, and ``SIGNS`` lanes of plus or minus one (kept modulo 2**16) make the
+unequal multisets differ, and ``SIGNS`` lanes of plus or minus one (summed whole, written modulo 2**32) make the
 fingerprint a sketch: the squared length of a difference estimates by how many paragraphs two documents differ.
 
 Defined results: null and empty texts have the zero fingerprint, which is equal to itself (likeness 1)
@@ -15,6 +15,7 @@ row alone is its own next document.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ class Fingerprint:
 
     def __init__(self, uniform: np.ndarray | None = None, signs: np.ndarray | None = None):
         self.uniform = np.zeros(UNIFORM, np.uint32) if uniform is None else uniform
-        self.signs = np.zeros(SIGNS, np.int16) if signs is None else signs
+        self.signs = np.zeros(SIGNS, np.int64) if signs is None else signs
 
     @classmethod
     def of(cls, text: bytes) -> Fingerprint:
@@ -45,7 +46,7 @@ class Fingerprint:
         raw = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 64)
         uniform = np.ascontiguousarray(raw[:, : 4 * UNIFORM]).view(np.uint32).sum(axis=0, dtype=np.uint32)
         ones = np.unpackbits(np.ascontiguousarray(raw[:, 4 * UNIFORM :]), axis=1).sum(axis=0, dtype=np.int64)
-        return cls(uniform, (2 * ones - len(raw)).astype(np.int16))
+        return cls(uniform, 2 * ones - len(raw))
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
         return Fingerprint(self.uniform + other.uniform, self.signs + other.signs)
@@ -59,14 +60,15 @@ class Fingerprint:
     __hash__ = None
 
     def hex(self) -> str:
-        return self.uniform.astype(">u4").tobytes().hex() + self.signs.astype(">i2").tobytes().hex()
+        """Both parts modulo 2**32; a text of less than 2 GB has fewer paragraphs than would wrap the sign sums."""
+        return self.uniform.astype(">u4").tobytes().hex() + self.signs.astype(">i4").tobytes().hex()
 
     def likeness(self, other: Fingerprint) -> float:
         """1 for equal multisets, else 1 - |a - b|^2 / (|a|^2 + |b|^2) over the sign lanes, not below 0: about the share of paragraphs in common."""
         if self == other:
             return 1.0
         a, b = self.signs.astype(float), other.signs.astype(float)
-        d = (self.signs - other.signs).astype(float)
+        d = a - b
         whole = a @ a + b @ b
         return max(0.0, 1 - d @ d / whole) if whole else 0.0
 
@@ -77,44 +79,41 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _places(docs: DataFrame, groups: int, id_col: str) -> DataFrame:
-    """Rows with ``__g``, a number whose order is that of descending ids.
+def _groups(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Rows (``__id``, ``__hash``, ``__text``) with ``__g``, a number whose order is that of descending ids (none last), then ascending hashes; and how many partitions they need.
 
-    Groups are ranges of ids with about equal counts; the rows of an id that would fill several
-    ranges, and those without an id, are dealt on by their text's hash.
+    Groups are ranges of (id, hash) of at most about a fourth of ``size`` bytes of text: a range sort of ids and hashes alone gives their bounds, one
+    row a group, whatever the type of the ids. Rows of one id are dealt on by their texts' hashes.
     """
-    rows = with_key(docs.select(F.col(id_col).alias("__id"), F.coalesce("text", F.lit("")).alias("__text")), "__id", "__text")
-    cuts = rows.agg(F.percentile_approx("__id", [k / groups for k in range(1, groups)], 10_000)).first()[0] or []
-    many = sorted({c for c, d in zip(cuts, cuts[1:], strict=False) if c == d})
-    edges = np.unique(np.array(cuts)) if cuts else np.zeros(0)
-    top = len(edges) + 1
+    told = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("__text") + 32), F.lit(0))).first()
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-told[1] // size))
+    placed = rows.select("__id", "__hash").repartitionByRange(4 * n, F.col("__id").desc_nulls_last(), F.col("__hash"))
+    lowest = F.max(F.struct("__id", F.bitwise_not("__hash").alias("h")))  # first in order: the largest id, of it the smallest hash; null is least
+    firsts = placed.groupBy(F.spark_partition_id()).agg(lowest.alias("f")).select("f.__id", F.bitwise_not("f.h").alias("h")).collect()
+    order = lambda i, h: (i is not None, 0 if i is None else i, -h)  # noqa: E731  ascending where the rows descend
+    edges = sorted(order(r[0], r[1]) for r in firsts)
 
-    @F.pandas_udf(T.LongType())
-    def number(ids):
-        some = ids.notna().to_numpy()
-        out = np.full(len(ids), top, np.int64)
-        out[some] = len(edges) - np.searchsorted(edges, ids[some].to_numpy().astype(edges.dtype if len(edges) else float))
-        return ids.__class__(out)
+    @F.arrow_udf(T.LongType())
+    def number(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array([len(edges) - bisect_left(edges, order(i, h)) for i, h in zip(ids.to_pylist(), hashes.to_pylist(), strict=True)], pa.int64())
 
-    dealt = F.col("__id").isNull() | (F.col("__id").isin(many) if many else F.lit(False))
-    within = F.when(dealt, F.shiftright("__hash", 59) + 16).otherwise(F.lit(63))  # 32 parts in the order of the hash
-    return rows.withColumn("__g", number("__id") * 64 + within)
+    return rows.withColumn("__g", number("__id", "__hash")), n
 
 
-def consecutive(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def consecutive(docs: DataFrame, id_col: str = "doc_id", size: int = 48 << 20) -> DataFrame:
     """Rows (``__id``, ``__text``, ``__g``, ``__head``) partitioned and sorted so that each row's next document follows it.
 
     Every group ends with a copy of the first row of the group after it (the last one's with that of
-    the first), marked ``__head``: texts are shuffled once, and no task sees more than its ranges.
+    the first), marked ``__head``: texts are shuffled once, and no task sees more than a few groups of ``size`` bytes.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _places(docs, 4 * n, id_col)
+    rows = with_key(docs.select(F.col(id_col).alias("__id"), F.coalesce("text", F.lit("")).alias("__text")), "__id", "__text")
+    rows, n = _groups(rows.select("__id", "__hash", "__text"), size)
     first = rows.groupBy("__g").agg(F.max(F.struct("__id", F.bitwise_not("__hash").alias("h"))).alias("f"))
-    order = W.orderBy("__g")  # a row a group: at most 4 x 64 x shuffle partitions, mostly 4 x
+    order = W.orderBy("__g")  # a row a group
     last = F.max("__g").over(W.partitionBy())
     heads = first.select(F.col("f.__id").alias("__i"), F.bitwise_not("f.h").alias("__h"), F.coalesce(F.lag("__g").over(order), last).alias("__to"))
     heads = materialise(heads)
-    joined = rows.join(F.broadcast(heads), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), "left")
+    joined = rows.join(F.broadcast(heads), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), "left")  # a row for every ``size`` bytes of text
     own = F.struct(F.col("__g").alias("g"), F.lit(False).alias("head"))
     copy = F.struct(F.col("__to").alias("g"), F.lit(True).alias("head"))
     both = joined.withColumn("__at", F.explode(F.when(F.col("__to").isNull(), F.array(own)).otherwise(F.array(own, copy))))
