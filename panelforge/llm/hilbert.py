@@ -1,7 +1,7 @@
 """Sharding by Hilbert-curve order over several metadata dimensions.
 
-Each dimension is quantised into 2**bits cells of about equal counts (boundaries from a mergeable
-quantile sketch over all rows), the cells become a Hilbert index, and the rows in curve order are cut
+Each dimension is quantised into 2**bits cells of about equal counts (boundaries of numbers from a mergeable
+quantile sketch over all rows, those of texts from a range sort of their distinct whole values), the cells become a Hilbert index, and the rows in curve order are cut
 into runs. Neighbours on the curve are close in every dimension, so each shard covers a small box and
 readers skip shards by their ranges. Many rows may share a cell; a hash of the document breaks ties,
 so a hot cell is dealt over range partitions like any other rows.
@@ -14,9 +14,11 @@ empty table gives no rows; repeated rows get places of their own.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,11 +53,21 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A double in the order of the column; of text, the first six bytes decide."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return F.col(name).cast("double")
+def _bounds(rows: DataFrame, number: int, cells: int) -> tuple[list[str], list[int], list[int]]:
+    """What places the texts of a dimension (``__t<number>``) in cells of about equal counts, over whole values: values, the cell of each and the cell after it.
+
+    The distinct values are range-sorted with their counts. A value counts as a bound where the rows before it and those up
+    to its end fall into different cells; it lies in the cell of its middle row, and the values up to the next bound lie in the cell
+    where its rows end. ``cells`` bounds at most reach the driver.
+    """
+    name = f"__t{number}"
+    values = rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("__n"))
+    placed = ordered_positions(values, [name], ["__n"])
+    total = max(placed.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0], 1)
+    before, middle, after = (F.expr(f"({x} * {cells}) div {d * total}") for x, d in (("before___n", 1), ("(2 * before___n + __n)", 2), ("(before___n + __n)", 1)))
+    found = placed.filter(before != after).select(name, middle, F.least(after, F.lit(cells - 1))).collect()
+    found.sort(key=lambda r: r[0].encode())
+    return [r[0] for r in found], [int(r[1]) for r in found], [int(r[2]) for r in found]
 
 
 def assign(docs: DataFrame, shards: int = 24, dimensions: tuple[str, ...] = ("lang", "source", "doc_id", "size"), bits: int = 6, law: str = "rows", id_col: str = "doc_id") -> DataFrame:
@@ -65,19 +77,34 @@ def assign(docs: DataFrame, shards: int = 24, dimensions: tuple[str, ...] = ("la
     if bits * len(dimensions) > 62:
         raise ValueError("bits times dimensions is over 62")
     rows = with_key(docs, id_col).withColumn("__size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8)
-    told = {d: F.col("__size").cast("double") if d == "size" else _number(docs, d) for d in dimensions}
-    rows = rows.select(F.col(id_col).alias("__id"), "__key", "__hash", "__size", F.crc32(F.col("text").cast("binary")).alias("__crc"), F.array(*told.values()).alias("__at"))
-    rows = materialise(rows)
+    own = [F.col("__size") if d == "size" else F.col(d) for d in dimensions]
+    texts = [d != "size" and isinstance(docs.schema[d].dataType, T.StringType) for d in dimensions]
+    told = [(c if t else c.cast("double")).alias(f"__t{i}") for i, (c, t) in enumerate(zip(own, texts, strict=True))]
+    rows = materialise(rows.select(F.col(id_col).alias("__id"), "__key", "__hash", "__size", F.crc32(F.col("text").cast("binary")).alias("__crc"), *told))
     cuts = [k / (1 << bits) for k in range(1, 1 << bits)]
-    bounds = rows.agg(*(F.percentile_approx(F.col("__at")[i], cuts, 4096).alias(f"b{i}") for i in range(len(dimensions)))).first()
-    edges = [np.array(b if b else [], float) for b in bounds]
+    plain = [i for i, t in enumerate(texts) if not t]
+    found = rows.agg(F.lit(0), *(F.percentile_approx(f"__t{i}", cuts, 4096) for i in plain)).first()
+    edges: list = [_bounds(rows, i, 1 << bits) if t else None for i, t in enumerate(texts)]
+    for i, b in zip(plain, found[1:], strict=True):
+        edges[i] = np.array(b if b else [], float)
+
+    def cell(i: int, column: pa.Array) -> np.ndarray:
+        if texts[i]:
+            distinct = column.dictionary_encode()
+            bounds, own, later = edges[i]
+            cells = []
+            for v in distinct.dictionary.to_pylist():
+                at = bisect_right(bounds, v) - 1
+                cells.append(0 if at < 0 else own[at] if bounds[at] == v else later[at])
+            cells = np.array([*cells, 0], np.int64)
+            return cells[distinct.indices.fill_null(len(cells) - 1).to_numpy(zero_copy_only=False)]
+        at = column.to_numpy(zero_copy_only=False).astype(float)
+        return np.where(np.isnan(at), 0, np.searchsorted(edges[i], at, side="right"))
 
     def curve(batches):
         for b in batches:
-            at = np.array(b.column(5).to_pylist(), dtype=float).reshape(b.num_rows, len(edges))
-            cells = np.stack([np.where(np.isnan(at[:, i]), 0, np.searchsorted(e, at[:, i], side="right")) for i, e in enumerate(edges)], axis=1) if b.num_rows else np.zeros((0, len(edges)))
-            index = pa.array(hilbert_index(cells, bits))
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], index], ["__id", "__key", "__hash", "__size", "__crc", "curve"])
+            cells = np.stack([cell(i, b.column(5 + i)) for i in range(len(edges))], axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(hilbert_index(cells, bits))], ["__id", "__key", "__hash", "__size", "__crc", "curve"])
 
     kept = rows.schema.fields[:5]
     placed = rows.mapInArrow(curve, T.StructType([*kept, T.StructField("curve", T.LongType())]))
@@ -104,11 +131,15 @@ def sharded(docs: DataFrame, shards: int = 24, dimensions: tuple[str, ...] = ("l
     return rows.select(*(c for c in docs.columns if c.lower() not in ("shard", "slot")), F.col("__place.shard").alias("shard"), F.col("__place.slot").alias("slot"))
 
 
+def write_sharded(rows: DataFrame, path: str) -> None:
+    """Writes rows that have ``shard`` and ``slot`` as Parquet under ``shard=<k>/``, in slot order; files of a shard are split by ranges of slots."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 24, dimensions: tuple[str, ...] = ("lang", "source", "doc_id", "size"), id_col: str = "doc_id") -> None:
-    """Parquet under ``shard=<k>/``, rows in slot order; files of a shard are split by ranges of slots."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = sharded(docs, shards, dimensions, id_col=id_col)
-    out.repartitionByRange(max(n, shards), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """``sharded`` rows, written."""
+    write_sharded(sharded(docs, shards, dimensions, id_col=id_col), path)
 
 
 def shard_ranges(placed: DataFrame, columns: list[str]) -> DataFrame:

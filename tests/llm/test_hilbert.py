@@ -52,6 +52,14 @@ def test_shards_prune(spark, sf):
     assert sum(r.min_lang <= 'es' <= r.max_lang for r in spans) < 8
 
 
+def test_texts_with_a_common_prefix_keep_their_cells(spark):
+    """Sources that start alike are told apart by their whole names."""
+    rows = [(i, "t", f"https://example.org/{'abcdefgh'[i % 8]}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = hilbert.shard_ranges(hilbert.sharded(docs, 8, ("source",)), ["source"]).collect()
+    assert all(r.min_source == r.max_source for r in out) and len({r.min_source for r in out}) == 8
+
+
 def test_awkward_rows(awkward, empty, tmp_path):
     rows = hilbert.assign(awkward, shards=24).collect()
     assert len(rows) == awkward.count() and len({(r.shard, r.slot) for r in rows}) == len(rows)
