@@ -162,9 +162,11 @@ def plan_records(pages: DataFrame, least: int = 1000, id_col: str = "page_id") -
     rows = rows.withColumn("__digest", F.when(F.octet_length("__payload") >= least, F.sha1("__payload")))
     groups = rows.filter(F.col("__digest").isNotNull()).groupBy("__digest").agg(F.max("__id").alias("__first"), F.count("*").alias("__n"))
     again = groups.filter("__n > 1 and __first is not null").select("__digest", "__first")
-    joined = rows.join(again, "__digest", "left")
+    joined = rows.filter(F.col("__digest").isNotNull()).join(again, "__digest", "left")  # one row a digest on the right: a hot digest's pages can be split
     refers = F.when(F.col("__first").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__first")), F.col("__first"))
-    return joined.select("__id", "__url", "__payload", refers.alias("__refers_to"))
+    digested = joined.select("__id", "__url", "__payload", refers.alias("__refers_to"))
+    short = rows.filter(F.col("__digest").isNull()).select("__id", "__url", "__payload", F.lit(None).cast(rows.schema["__id"].dataType).alias("__refers_to"))
+    return digested.unionByName(short)  # short pages stay where they are
 
 
 def write_archives(planned: DataFrame, folder: str, rotate: int = 64 << 20) -> DataFrame:
