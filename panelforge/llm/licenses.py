@@ -63,10 +63,9 @@ class Notice:
         for offset, seed in self.seeds:
             at = line.find(seed)
             while at >= 0:
-                begin = max(0, at - offset - k - 1)
-                if begin not in tried:
-                    tried.add(begin)
-                    end = min(len(line), at - offset + n + k + 1)  # with the space on either side
+                begin, end = max(0, at - offset - k - 1), min(len(line), at - offset + n + k + 1)  # with the space on either side
+                if (begin, end) not in tried:
+                    tried.add((begin, end))
                     for m in self.pattern.finditer(line, begin, end, overlapped=True):
                         found.append((sum(m.fuzzy_counts), m.start() + 1, m.end()))
                 at = line.find(seed, at + 1)
