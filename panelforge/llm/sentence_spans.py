@@ -1,10 +1,11 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences: after a word that ends in ``.``, ``!`` or ``?``, and at line breaks. Sentences of over
-``LONG`` words are cut further, after the word with the least hash (the last of equals) of every ``WINDOW``
-consecutive words, so that a passage is cut alike wherever it stands, in pieces of ``WINDOW`` words at most. From every sentence starts one span: the shortest run of
-consecutive sentences with at least ``least_sentences`` of them and ``least_words`` words. Spans are hashed (lower case, single
-spaces) and joined globally; the first span of a hash, in the order of document and place, stays, and
+A text is cut into sentences: after a word that ends in ``.``, ``!`` or ``?``, and at line breaks. Texts without such marks, and passages that
+start or end in the middle of a sentence, would hold no whole sentences in common, so sentences are cut further: after the word with the least hash
+(the last of equals) of every ``WINDOW`` consecutive words. Where these cuts fall depends on the words around them alone, so that a passage is cut alike wherever
+it stands, in pieces of ``WINDOW`` words at most. From every sentence starts one span: the shortest run of
+consecutive sentences with at least ``least_sentences`` of them and ``least_words`` words. Spans are hashed (lower case, words only; 128
+bits) and joined globally; the first span of a hash, in the order of document and place, stays, and
 the sentences covered by any other one are removed. Any 50 words, punctuated or not,
 hold such a span whole, while shorter stock phrases don't.
 
@@ -14,114 +15,121 @@ once, to be cut.
 
 Defined results: null and empty texts have no sentences and stay as they are; a repeat within a document
 counts like one between documents; rows equal in id and text count as one document; null ids come last
-in the order.
+in the order. Input columns named ``n_sentences``, ``n_removed`` or ``removed`` are replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, text_bytes, with_key
+from .common import key_of, materialise, text_bytes, with_key
 
-LONG = 12
-#: A cut within every so many words: 8 is the widest window with which any 50 words hold a span.
-WINDOW = 8
+#: A cut within every so many words: with 10, any 50 words hold a span (the first cut comes after 10 words at most, a span ends at most 30 words on, and the last 10 words can't change it).
+WINDOW = 10
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
-_ODD, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+#: Fixed by choice: odd bases of the polynomial hashes of bytes and of words.
+_BYTES, _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out, step = np.ones(1, np.uint64), base
-    while len(out) < n:
-        out = np.concatenate([out, out * np.uint64(step)])
-        step = step * step % (1 << 64)
-    return out[:n]
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as far as they were needed."""
 
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
 
-_UP, _DOWN = _powers(_ODD, 1 << 14), _powers(_INVERSE, 1 << 14)
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, k, 1 << 64))])
+        return self.up, self.down
 
 
-def sentences(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, byte after, words) of each sentence."""
+_POWERS = {base: _Powers(base) for base in (_BYTES, _FIRST, _SECOND)}
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
+def _runs(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Polynomial hash of each run ``values[begin:end]``, by differences of one running sum."""
+    up, down = _POWERS[base].upto(len(values) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)])
+    return _mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def sentences(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, byte after, words) of each sentence, and the hash of every word."""
     data = np.frombuffer(raw, np.uint8)
     gap = _SPACE[data]
     edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     n = len(starts)
     if not n:
-        return starts, ends, starts
-    last = data[ends - 1]
+        return starts, ends, starts, np.zeros(0, np.uint64)
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    stop = _STOP[last]
-    stop[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
-    stop[-1] = True
-    sentence_end = np.flatnonzero(stop)
-    sentence = np.concatenate([[0], np.cumsum(stop)[:-1]])
-    size = np.diff(sentence_end, prepend=-1)
-    low = np.frombuffer(raw.lower(), np.uint8)
-    upto = np.concatenate([[0], np.cumsum(low, dtype=np.uint64)])
-    mixed = (upto[ends] - upto[starts]).astype(np.uint64) * np.uint64(_ODD) ^ (low[starts].astype(np.uint64) << np.uint64(16) | low[ends - 1].astype(np.uint64) << np.uint64(8)) * np.uint64(0xC2B2AE3D27D4EB4F) ^ (ends - starts).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
-    picked = np.zeros(n, bool)
+    cut = _STOP[data[ends - 1]]
+    cut[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
+    cut[-1] = True
+    hashed = _runs(np.frombuffer(raw.lower(), np.uint8).astype(np.uint64), starts, ends, _BYTES)
     if n >= WINDOW:
-        least = WINDOW - 1 - np.lib.stride_tricks.sliding_window_view(mixed, WINDOW)[:, ::-1].argmin(axis=1)
-        picked[np.arange(len(least)) + least] = True
-    at = np.flatnonzero(stop | (picked & (size[sentence] > LONG)))
-    words = np.diff(at, prepend=-1)
+        least = WINDOW - 1 - np.lib.stride_tricks.sliding_window_view(hashed, WINDOW)[:, ::-1].argmin(axis=1)
+        cut[np.arange(len(least)) + least] = True
+    at = np.flatnonzero(cut)
     first = np.concatenate([[0], at[:-1] + 1])
-    return starts[first], ends[at], words
+    return starts[first], ends[at], np.diff(at, prepend=-1), hashed
 
 
-def spans(raw: bytes, least_sentences: int = 3, least_words: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first sentence, sentence after) of the span that starts at each sentence, as far as the text goes."""
-    global _UP, _DOWN
-    a, b, words = sentences(raw)
+def spans(raw: bytes, least_sentences: int = 3, least_words: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(two hashes, first sentence, sentence after) of the span that starts at each sentence, as far as the text goes."""
+    a, _, words, hashed = sentences(raw)
     n = len(a)
     if n < least_sentences:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if n > len(_UP):
-        _UP, _DOWN = _powers(_ODD, 2 * n), _powers(_INVERSE, 2 * n)
-    low = raw.lower()
-    own = np.fromiter((xxhash.xxh64_intdigest(b" ".join(low[i:j].split())) for i, j in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, n)
+        return *np.zeros((2, 0), np.uint64), *np.zeros((2, 0), np.int64)
     upto = np.concatenate([[0], np.cumsum(words)])
     after = np.maximum(np.searchsorted(upto, upto[:-1] + least_words), np.arange(n) + least_sentences)
-    fits = after <= n
-    begin = np.flatnonzero(fits)
-    after = after[fits]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * _UP[:n], dtype=np.uint64)])
-    hashed = (total[after] - total[begin]) * _DOWN[begin] + (after - begin).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    hashed ^= hashed >> np.uint64(31)
-    return hashed * np.uint64(0xFF51AFD7ED558CCD), begin, after
+    begin = np.flatnonzero(after <= n)
+    after = after[begin]
+    number = (after - begin).astype(np.uint64)  # equal spans are cut alike
+    one, two = (_runs(v, upto[begin], upto[after], base) for v, base in ((hashed, _FIRST), (_mix(hashed), _SECOND)))
+    return _mix(one + number), _mix(two + number), begin, after
 
 
 def repeated(docs: DataFrame, least_sentences: int = 3, least_words: int = 20, id_col: str = "doc_id") -> DataFrame:
-    """(``__key``, ``__hash``, ``__cover``: [first, after) sentences of the document's repeated spans that aren't the first of their kind)."""
-    rows = with_key(docs.select(id_col, "text"), id_col).dropDuplicates(["__key", "__hash"]) if _repeats(docs, id_col) else with_key(docs.select(id_col, "text"), id_col)
-    rows = rows.select(F.col(id_col).alias("__id"), "__key", "__hash", text_bytes().alias("__text"))
-    kept = [f for f in rows.schema.fields[:3]]
+    """(``__id``, ``__hash``, ``__cover``: [first, after) sentences of the document's repeated spans that aren't the first of their kind)."""
+    rows = with_key(docs.select(F.col(id_col).alias("__id"), "text"), "__id")
+    if _repeats(docs, id_col):
+        rows = rows.dropDuplicates(["__key", "__hash"])
+    rows = rows.select("__id", "__hash", text_bytes().alias("__text"))
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
-                found = [spans(t.as_py(), least_sentences, least_words) for t in b.column(3)]
+                found = [spans(t.as_py(), least_sentences, least_words) for t in b.column(2)]
                 take = pa.array(np.repeat(np.arange(b.num_rows), [len(f[0]) for f in found]))
-                h, s, e = (np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(3))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(h.astype(np.uint64).view(np.int64)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["__id", "__key", "__hash", "span", "first", "after"])
+                one, two, first, after = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(4))
+                place = first.astype(np.int64) << 20 | (after - first).astype(np.int64)  # a span has fewer sentences than words, and few of these
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(x.view(np.int64)) for x in (one, two)), pa.array(place)], ["__id", "__hash", "s", "t", "place"])
 
-    each = rows.mapInArrow(run, T.StructType([*kept, T.StructField("span", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("after", T.IntegerType())]))
-    place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__hash").alias("hash"), F.col("first").alias("first"))
-    firsts = each.groupBy("span").agg(F.min(place).alias("p"), F.count("*").alias("n")).filter("n > 1")
-    firsts = materialise(firsts.select("span", F.col("p.id").alias("i"), F.col("p.hash").alias("h"), F.col("p.first").alias("f")))  # so that the join's sides are plain shuffles, which Spark can split
-    later = each.join(firsts, "span").filter(~(F.col("__id").eqNullSafe(F.col("i")) & (F.col("__hash") == F.col("h")) & (F.col("first") == F.col("f"))))
-    return later.groupBy("__key", "__hash").agg(F.collect_set(F.struct("first", "after")).alias("__cover"))
+    each = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], *(T.StructField(c, T.LongType()) for c in ("s", "t", "place"))]))
+    key = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__hash").alias("hash"), F.col("place").alias("place"))
+    firsts = each.groupBy("s", "t").agg(F.min(key).alias("p"), F.count("*").alias("n")).filter("n > 1")
+    firsts = materialise(firsts.select("s", "t", F.col("p.id").alias("i"), F.col("p.hash").alias("h"), F.col("p.place").alias("f")))  # so that the join's sides are plain shuffles, which Spark can split
+    later = each.join(firsts, ["s", "t"]).filter(~(F.col("__id").eqNullSafe(F.col("i")) & (F.col("__hash") == F.col("h")) & (F.col("place") == F.col("f"))))
+    covers = later.groupBy("__id", "__hash").agg(F.collect_set("place").alias("__places"))
+    return covers.select("__id", "__hash", F.transform("__places", lambda p: F.array(F.shiftright(p, 20), F.shiftright(p, 20) + p.bitwiseAND(F.lit((1 << 20) - 1)))).alias("__cover"))
 
 
 def _repeats(docs: DataFrame, id_col: str) -> bool:
@@ -131,10 +139,11 @@ def _repeats(docs: DataFrame, id_col: str) -> bool:
 
 def remove_repeats(docs: DataFrame, least_sentences: int = 3, least_words: int = 20, id_col: str = "doc_id") -> DataFrame:
     """Whole rows with ``text`` cut, ``n_sentences``, ``n_removed`` (sentences) and ``removed`` ([from, to) bytes of the old text)."""
-    cover = repeated(docs, least_sentences, least_words, id_col)
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_sentences", "n_removed", "removed")))
+    cover = repeated(docs, least_sentences, least_words, id_col).select(key_of("__id").alias("__key"), "__hash", "__cover")
     names = docs.columns
     rows = with_key(docs, id_col).join(cover, ["__key", "__hash"], "left")
-    rows = rows.select(*names, text_bytes().alias("__raw"), F.transform("__cover", lambda c: F.array(c["first"], c["after"])).alias("__cover"))
+    rows = rows.select(*names, text_bytes().alias("__raw"), "__cover")
     at, n = names.index("text"), len(names)
     extra = T.StructType([T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.LongType())))])
 
@@ -143,7 +152,7 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 3, least_words: int =
             new, counts, gone, removed = [], [], [], []
             for text, raw, covers in zip(b.column(at), b.column(n), b.column(n + 1), strict=True):
                 raw, covers = raw.as_py(), covers.as_py()
-                first, after, _ = sentences(raw)
+                first, after, _, _ = sentences(raw)
                 counts.append(len(first))
                 if not covers:
                     new.append(text.as_py())
