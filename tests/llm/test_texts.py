@@ -100,8 +100,8 @@ def test_any_fifty_words_hold_a_span():
     def draw(n, stops):
         return " ".join(rng.choice(["al", "be", "ga", "de", "ep"]) + str(rng.randint(0, 99)) + ("." if rng.random() < stops else "") for _ in range(n))
 
-    for k in range(600):
-        stops, gap = rng.choice([0, 0, 0.05, 0.1]), rng.choice([" ", "\n"])
+    for k in range(2000):
+        stops, gap = rng.choice([0, 0, 0.05, 0.1, 0.3]), rng.choice([" ", "\n"])
         own = draw(50, stops)
         one, two = ({*sentence_spans.spans((draw(rng.randint(0, 30), stops) + gap + own + gap + draw(rng.randint(0, 30), stops)).encode())[0].tolist()} for _ in range(2))
         assert one & two, (k, own)
@@ -112,7 +112,7 @@ def test_spans_against_brute_force(spark, sf):
     seen, removed = {}, {}
     for i, t in docs:
         raw = t.encode()
-        a, b, n = sentence_spans.sentences(raw)
+        a, b, n, _ = sentence_spans.sentences(raw)
         units = [b" ".join(raw.lower()[x:y].split()) for x, y in zip(a, b, strict=True)]
         for k in range(len(units)):
             total, j = 0, k
@@ -120,10 +120,10 @@ def test_spans_against_brute_force(spark, sf):
                 total += int(n[j])
                 j += 1
             if j - k >= 3 and total >= 20:
-                if tuple(units[k:j]) in seen:
+                if (run := (b" ".join(units[k:j]), j - k)) in seen:
                     removed.setdefault(i, set()).update(range(k, j))
                 else:
-                    seen[tuple(units[k:j])] = (i, k)
+                    seen[run] = (i, k)
     got = {r.doc_id: r.n_removed for r in op7_sentence_span_dedup(spark, sf).collect()}
     assert got == {i: len(removed.get(i, ())) for i, _ in docs}
 
@@ -133,6 +133,9 @@ def test_spans_awkward(awkward, empty):
     assert len(rows) == awkward.count()
     assert all(r.text is None and r.n_sentences == 0 for r in rows if r.doc_id == 4)
     assert sentence_spans.remove_repeats(empty).count() == 0
+    clash = awkward.withColumn("n_removed", F.lit("x")).withColumn("removed", F.lit(2)).withColumn("N_Sentences", F.lit(3))
+    out = sentence_spans.remove_repeats(clash)
+    assert len({c.lower() for c in out.columns}) == len(out.columns) and dict(out.dtypes)["n_removed"] == "bigint" and out.count() == awkward.count()
 
 
 # ---- multiset fingerprints
@@ -263,5 +266,72 @@ def test_payloads_come_back_whole(spark, tmp_path):
 
 
 def test_numpy_powers():
-    up, down = sentence_spans._powers(sentence_spans._ODD, 9), sentence_spans._powers(sentence_spans._INVERSE, 9)
-    assert (up * down == np.ones(9, np.uint64)).all()
+    for held in sentence_spans._POWERS.values():
+        up, down = held.upto(9)
+        assert (up * down == np.ones(len(up), np.uint64)).all()
+
+
+def test_unlike_texts_of_many_paragraphs():
+    for n in (100, 20_000, 40_000, 100_000):
+        a, b = (Fingerprint.of((line + "\n").encode() * n) for line in ("one line", "another line"))
+        assert a.likeness(b) < 0.5 and a.likeness(a) == 1 and (a - a) == Fingerprint()
+    a, b = (Fingerprint.of("\n".join(f"{w} {i}" for i in range(40_000)).encode()) for w in "ab")
+    assert a.likeness(b) < 0.4
+
+
+def test_fingerprints_of_any_ids(spark):
+    """Text ids and longs over 2**53 follow in their exact order."""
+    big = 1 << 60
+    for ids, kind in (([big + i for i in range(40)], "long"), ([f"id-{i:03d}" for i in range(40)], "string"), ([*range(38), None, None], "long")):
+        rows = [(i, f"text {k} " * (k + 1)) for k, i in enumerate(ids)]
+        docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(5)
+        got = {r.n_chars: r for r in multiset_hash.fingerprint_documents(docs).collect()}
+        order = sorted((r for r in rows if r[0] is not None), reverse=True)
+        for (_, t), (_, nxt) in zip(order, order[1:], strict=False):
+            new = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+            assert got[len(t)].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        assert len(got) == len(rows)
+
+
+def edit_distances(pattern, line):
+    """Least edits with which ``pattern`` matches a stretch of ``line`` that starts and ends with words: brute force."""
+    words, best = line.split(), {}
+    for i in range(len(words)):
+        for j in range(i + 1, min(len(words), i + len(pattern.split()) + 3) + 1):
+            t = " ".join(words[i:j])
+            if abs(len(t) - len(pattern)) > len(pattern) // 12 + 1:
+                continue
+            row = list(range(len(t) + 1))
+            for x, c in enumerate(pattern, 1):
+                left, row[0] = row[0], x
+                for y, d in enumerate(t, 1):
+                    left, row[y] = row[y], min(row[y] + 1, row[y - 1] + 1, left + (c != d))
+            best[i, j] = row[-1]
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from(list(licenses.NOTICES)), st.integers(0, 10**9))
+def test_license_spans_against_edit_distance(phrase, seed):
+    """Insertions, deletions and changes anywhere, both ends included: a span is reported if and only if brute force has one, and each is within the bound."""
+    notice, rng = licenses.Notice(phrase, "x"), random.Random(seed)
+    text = list(phrase)
+    for _ in range(rng.randint(0, notice.edits + 1)):
+        k, how = rng.randrange(len(text)), rng.randrange(3)
+        if how == 0:
+            text[k] = rng.choice("abest ")
+        elif how == 1:
+            text.insert(rng.choice([0, k, len(text)]), rng.choice("sdx "))
+        else:
+            del text[k]
+    line = " ".join(f"{rng.choice(['under', 'x', 'a'])} {''.join(text)} {rng.choice(['s', 'and', 'license'])}".split())
+    want = {k: d for k, d in edit_distances(phrase, line).items() if d <= notice.edits}
+    got = notice.spans(b" " + line.encode() + b" ")
+    assert bool(got) == bool(want), (line, want)
+    if want:
+        assert min(d for _, _, d in got) == min(want.values()), (line, want, got)
+
+
+def test_license_inputs_of_before():
+    for text, label in ((b"gnu general public licensee", "gpl"), (b"gnu general public licenses", "gpl"), (b"apache licenses", "apache"), (b"mozila public license", "mpl"), (b"gnu generl public license", "gpl")):
+        assert label in {s[0] for s in licenses.scan(text)["spans"]}, text
