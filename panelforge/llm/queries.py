@@ -32,7 +32,7 @@ def op4_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("sentence")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

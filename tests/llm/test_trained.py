@@ -80,3 +80,49 @@ def test_awkward_rows(awkward, empty, labels):
     assert quality.rank_documents(empty, labels).count() == 0 and toxicity.score_documents(empty, labels).count() == 0
     kept = quality.keep_good(awkward, labels)
     assert kept.columns == awkward.columns
+
+
+def test_sentences_and_gaps():
+    text = "A calm start. You stu pid\nthing! i d i o t here.  Fine.Really"
+    assert toxicity.sentences(text) == ["A calm start.", "You stu pid", "thing!", "i d i o t here.", "Fine.Really"]
+    assert {"stu pid", "you stu"} <= toxicity.windows(text) and not any("pid thing" in w for w in toxicity.windows(text))
+    codes = toxicity._Codes()
+    row, number, weight = toxicity.subsequences(["stupid", "stu pid", "quiet"], 0.5, codes)
+    f = [dict(zip(number[row == i], weight[row == i], strict=True)) for i in range(3)]
+    assert sum(w * f[1].get(k, 0) for k, w in f[0].items()) > 0.6 and sum(w * f[2].get(k, 0) for k, w in f[0].items()) < 0.05
+
+
+def test_the_worst_sentence_is_told():
+    clean = [f"the weather in week {i} was mild. nobody said much. it rained on day {i % 7}." for i in range(60)]
+    toxic = [c + " you are a stupid idiot. see you." for c in clean[:30]]
+    m = toxicity.fit(clean + toxic, np.array([0] * 60 + [1] * 30), 1 / 3)
+    s, worst, where = m.judge(["all is well. what a stu pid idea, stupid. thanks.", "all is well. it rained.", ""])
+    assert s[0] > 0.5 > s[1] and "stupid" in where[0] and where[2] is None and worst[0] > worst[1]
+
+
+def test_texts_without_windows():
+    for texts in (["", ""], ["...", "  "], ["", "some words"]):
+        m = toxicity.fit(texts, np.array([1, 0]), 0.5)
+        assert m.score(texts + [""]) == pytest.approx([0.5] * 3)
+    assert toxicity.fit(["a b"], np.array([1]), 1.0) is None
+    m = toxicity.fit(["some words", ""], np.array([1, 0]), 0.5)
+    assert ((m.score(["some words", "", "x"]) >= 0) & (m.score(["some words", "", "x"]) <= 1)).all()
+
+
+def test_contradicting_labels_train_nothing(spark):
+    from panelforge.llm.labelled import training_rows
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(20)] + [(i, 0) for i in range(10)], "doc_id long, toxic int")
+    assert all(r["__id"] >= 10 and r["__label"] == 1 for r in training_rows(docs, labels, "toxic", 100).collect())
+
+
+def test_every_pair_counts():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 17))
+    y = (x[:, 0] + rng.normal(size=60) > 0).astype(int)
+    m = quality.fit(x, y, 0.5)
+    z = np.clip((x - m.mean) / m.scale, -6, 6)
+    d = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, 17)
+    p = 1 / (1 + np.exp(d @ m.weights))
+    assert np.abs(-(d * p[:, None]).mean(axis=0) + 1e-3 * m.weights).max() < 1e-6  # the gradient over all pairs, written out
