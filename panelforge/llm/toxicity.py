@@ -290,6 +290,8 @@ def fit(texts: list[str], y: np.ndarray, toxic_share: float, landmarks: int = 12
                     top.append(best)
                 if len(top) == 2:
                     break
+            if len(starts) == 1:  # of a single sentence, its two worst windows
+                top = own[np.argsort(-score[own], kind="stable")[:2]]
             if turn == 0 or score[top[0]] > -0.5 or not positive.any():  # labels without any window that speaks for them are noise
                 positive[top] += 1
         yes, no = np.flatnonzero(positive), np.flatnonzero(negative)

@@ -93,8 +93,8 @@ def test_sentences_and_gaps():
 
 
 def test_the_worst_sentence_is_told():
-    clean = [f"the weather in week {i} was mild. nobody said much. it rained on day {i % 7}." for i in range(60)]
-    toxic = [c + " you are a stupid idiot. see you." for c in clean[:30]]
+    clean = [f"the weather in week {i} was mild. you are a good friend, see you. it rained on day {i % 7}." for i in range(60)]
+    toxic = [f"{c} you are a {('stupid', 'idiot')[i % 2]} friend. see you." for i, c in enumerate(clean[:30])]
     m = toxicity.fit(clean + toxic, np.array([0] * 60 + [1] * 30), 1 / 3)
     s, worst, where = m.judge(["all is well. what a stu pid idea, stupid. thanks.", "all is well. it rained.", ""])
     assert s[0] > 0.5 > s[1] and "stupid" in where[0] and where[2] is None and worst[0] > worst[1]
