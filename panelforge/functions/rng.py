@@ -7,7 +7,7 @@ half of one factor is multiplied apart.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEP, GOLDEN, MASK = 0x6D2B79F5, 0x9E3779B1, 0xFFFFFFFF
@@ -33,9 +33,15 @@ def draw_seed(seed: int | Column, b: Column) -> Column:
     return wrap(_lit(seed)).bitwiseXOR(imul(b.cast("long") + 1, GOLDEN))
 
 
-def uniform(seed: Column, k: Column) -> Column:
-    """The k-th (from 0) number in [0, 1) of a seed."""
-    a = wrap(seed + imul(k.cast("long") + 1, STEP))
-    t = imul(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
-    t = wrap(t + imul(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseXOR(t)
-    return t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0)
+def with_uniform(df: DataFrame, name: str, seed: Column, k: Column) -> DataFrame:
+    """Adds the k-th (from 0) number in [0, 1) of a seed.
+
+    Every step is a column of its own that the next one uses more than once: the optimiser keeps such columns apart, so the code of a
+    step is generated once and not copied into each of its uses.
+    """
+    df = df.withColumn("__a", F.coalesce(wrap(seed + imul(k.cast("long") + 1, STEP)), F.lit(0).cast("long")))
+    df = df.withColumn("__x", F.col("__a").bitwiseXOR(F.shiftright("__a", 15))).withColumn("__y", F.col("__a").bitwiseOR(F.lit(1)))
+    df = df.withColumn("__t", imul(F.col("__x"), F.col("__y")))
+    df = df.withColumn("__x", F.col("__t").bitwiseXOR(F.shiftright("__t", 7))).withColumn("__y", F.col("__t").bitwiseOR(F.lit(61)))
+    df = df.withColumn("__t", wrap(F.col("__t") + imul(F.col("__x"), F.col("__y"))).bitwiseXOR(F.col("__t")))
+    return df.withColumn(name, F.col("__t").bitwiseXOR(F.shiftright("__t", 14)) / F.lit(4294967296.0)).drop("__a", "__x", "__y", "__t")

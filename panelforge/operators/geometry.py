@@ -192,8 +192,8 @@ def tangency(mu: np.ndarray, cov: np.ndarray, c: float) -> tuple[str, np.ndarray
     return ("ok", best[1]) if best else ("singular", None)
 
 
-def implied_intercept(mu: np.ndarray, cov: np.ndarray, w: np.ndarray, held_over: float = 1e-8, tol: float = 1e-9) -> tuple[str, float | None, float | None] | None:
-    """The intercept over which w is the tangency: ("point", c, c), or for a single asset ("interval", low, high)."""
+def implied_intercept(mu: np.ndarray, cov: np.ndarray, w: np.ndarray, held_over: float = 1e-8, tol: float = 1e-9) -> tuple[str, float | None, float | None, bool] | None:
+    """The intercept over which w is the tangency: ("point", c, c, False), or for a single asset ("interval", low, high, whether its own mean alone bounds it above)."""
     held, cw = np.flatnonzero(w > held_over), cov @ w
     if len(held) >= 2:
         x = np.column_stack([np.ones(len(held)), cw[held]])
@@ -202,7 +202,7 @@ def implied_intercept(mu: np.ndarray, cov: np.ndarray, w: np.ndarray, held_over:
         (c, gamma), *_ = np.linalg.lstsq(x, mu[held], rcond=None)
         rest = mu - c - gamma * cw
         free = np.setdiff1d(np.arange(3), held)
-        return ("point", float(c), float(c)) if gamma > tol and np.abs(rest[held]).max() <= tol and (rest[free] <= tol).all() else None
+        return ("point", float(c), float(c), False) if gamma > tol and np.abs(rest[held]).max() <= tol and (rest[free] <= tol).all() else None
     i = int(held[0])
     low, high = -np.inf, mu[i]
     for j in {0, 1, 2} - {i}:
@@ -214,7 +214,7 @@ def implied_intercept(mu: np.ndarray, cov: np.ndarray, w: np.ndarray, held_over:
             low = max(low, gap / (beta - 1))
         elif gap < 0:
             return None
-    return ("interval", float(low) if np.isfinite(low) else None, float(high)) if low < high else None
+    return ("interval", float(low) if np.isfinite(low) else None, float(high), bool(high >= mu[i] - 1e-12)) if low < high else None
 
 
 def kinked_line(mu: np.ndarray, cov: np.ndarray, rf: float, spread: float, vol: float) -> dict:

@@ -11,6 +11,14 @@ from ..errors import PanelError
 ASSETS = ("ndx", "spx", "ust")
 
 
+def equity_returns(basis: str = "tr", band: str = "default", wht: float = 0.0) -> tuple[Column, Column]:
+    """Returns of the two equity assets on a basis: totals observed or estimated, less the tax on dividends, or prices."""
+    if basis == "pr":
+        return F.col("ndx_pr"), F.col("spx_pr")
+    ndx, spx = F.coalesce("ndx_tr", F.col("ndx_pr") + F.col(f"ndx_div_{band}")), F.coalesce("spx_tr", "spx_tr_con")
+    return ndx - wht * (ndx - F.col("ndx_pr")), spx - wht * (spx - F.col("spx_pr"))
+
+
 def build(panel: DataFrame, start: str | None = None, end: str | None = None, basis: str = "tr", band: str = "default", wht: float = 0.0) -> DataFrame:
     """Return rows in (start, end]: ``t`` from 1, ``month``, ``r_ndx``, ``r_spx``, ``r_ust``, ``rf``, ``div_ndx``, ``div_spx``, ``dgs10``.
 
@@ -22,12 +30,12 @@ def build(panel: DataFrame, start: str | None = None, end: str | None = None, ba
         raise PanelError("E_BAD_RANGE", f"{start} to {end}")
     df = panel.filter(F.col("month") > start) if start else panel.filter("t > 0")
     df = df.filter(F.col("month") <= end) if end else df
+    ndx, spx = equity_returns(basis, band, wht)
     if basis == "tr":
-        ndx, spx = F.coalesce("ndx_tr", F.col("ndx_pr") + F.col(f"ndx_div_{band}")), F.coalesce("spx_tr", "spx_tr_con")
-        div_n, div_s, ust = ndx - F.col("ndx_pr"), spx - F.col("spx_pr"), F.col("bond_tr")
-        ndx, spx = ndx - wht * div_n, spx - wht * div_s
+        gross = equity_returns(basis, band)
+        div_n, div_s, ust = gross[0] - F.col("ndx_pr"), gross[1] - F.col("spx_pr"), F.col("bond_tr")
     else:
-        ndx, spx, ust = F.col("ndx_pr"), F.col("spx_pr"), F.col("bond_pr")
+        ust = F.col("bond_pr")
         div_n = div_s = F.lit(0.0)
     out = df.select("month", "mi", ndx.alias("r_ndx"), spx.alias("r_spx"), ust.alias("r_ust"), F.col("RF").alias("rf"), div_n.alias("div_ndx"), div_s.alias("div_spx"), "dgs10")
     return out.withColumn("t", F.row_number().over(W.partitionBy().orderBy("month")).cast("int"))
@@ -55,6 +63,11 @@ def long(sample: DataFrame, assets: tuple[str, ...] = ASSETS) -> DataFrame:
     return sample.select("t", "month", "rf", F.explode(pairs).alias("x")).select("x.series", "t", "month", "x.r", "rf")
 
 
+def levered(r: Column, lev: Column, rf: Column, spread: Column) -> Column:
+    """A return at a leverage, borrowed at rf and a spread a year."""
+    return lev * r - (lev - 1) * rf - F.greatest(lev - 1, F.lit(0.0)) * spread / 12
+
+
 def mix(sample: DataFrame, weights: DataFrame, leverage: bool = False) -> DataFrame:
     """(``series``, ``t``, ``month``, ``r``, ``rf``) of fixed-weight portfolios: ``weights`` has ``series``, ``w_ndx``, ``w_spx``, ``w_ust`` (and ``L``, ``spread``).
 
@@ -62,9 +75,7 @@ def mix(sample: DataFrame, weights: DataFrame, leverage: bool = False) -> DataFr
     """
     r = sum((F.col(f"w_{a}") * F.col(f"r_{a}") for a in ASSETS), F.lit(0.0))
     if leverage:
-        plain = r
-        lev = F.col("L") * plain - (F.col("L") - 1) * F.col("rf") - F.greatest(F.col("L") - 1, F.lit(0.0)) * F.col("spread") / 12
-        r = F.when(F.col("L").isNull(), plain).otherwise(lev)
+        r = levered(r, F.coalesce("L", F.lit(1.0)), F.col("rf"), F.coalesce("spread", F.lit(0.0)))
     months = F.broadcast(sample.select("t", "month", "rf", *(f"r_{a}" for a in ASSETS)))
     return weights.join(months, F.lit(True)).select("series", "t", "month", r.alias("r"), "rf")
 

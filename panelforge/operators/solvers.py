@@ -58,11 +58,9 @@ def _model(w: np.ndarray | None, mu: np.ndarray, cov: np.ndarray) -> dict:
     return {"mu": float(w @ mu), "vol": float(max(w @ cov @ w, 0) ** 0.5), "te": float(max(d @ cov @ d, 0) ** 0.5)}
 
 
-def with_mu(moments: DataFrame, mu: str = "hist", y10: float | None = None) -> DataFrame:
-    """Means as measured, or the bond's replaced by its yield plus half its variance."""
-    if mu == "hist":
-        return moments
-    return moments.withColumn("mu_ust", F.lit(y10) + F.col("cov_ust_ust") / 2)
+def with_mu(moments: DataFrame, mu: str = "hist") -> DataFrame:
+    """Means as measured, or the bond's replaced by the sample's last yield (as a year's return) plus half its variance."""
+    return moments if mu == "hist" else moments.withColumn("mu_ust", F.col("y10") + F.col("cov_ust_ust") / 2)
 
 
 def iso_vol(moments: DataFrame, keep: list[str], vol_mult: float = 1.0, te_cap: float | None = 0.05) -> DataFrame:
@@ -152,9 +150,9 @@ def implied_intercept(rows: DataFrame, keep: list[str]) -> DataFrame:
     def solve(r):
         w = np.array([r["w_ndx"], r["w_spx"], r["w_ust"]], float)
         got = G.implied_intercept(mu_of(r), cov_of(r), w) if np.isfinite(w).all() else None
-        return [dict(zip(("kind", "c_low", "c_high"), got or (None, None, None), strict=True))]
+        return [dict(zip(("kind", "c_low", "c_high", "open_above"), got or (None,) * 4, strict=True))]
 
-    return over_rows(rows, keep, "kind string, c_low double, c_high double", solve)
+    return over_rows(rows, keep, "kind string, c_low double, c_high double, open_above boolean", solve)
 
 
 def kinked_line(moments: DataFrame, keep: list[str], spread: float = 0.005, vol_mult: float = 1.0) -> DataFrame:
@@ -258,12 +256,9 @@ def two_asset_roots(sample: DataFrame, pair: tuple[int, int] = (0, 2)) -> DataFr
         r, rf = pdf[["r_ndx", "r_spx", "r_ust"]].to_numpy(float), pdf["rf"].to_numpy(float)
         p, out = G.Path(r, rf), []
         s0, v0, g0 = p.sharpe(G.SPX[None])[0], r[:, 1].var(ddof=1), np.log1p(r[:, 1]).mean()
-        e = r - rf[:, None]
-        m, c, v = e.mean(axis=0), np.cov(e.T), np.cov(r.T)
-        d, k = m[a] - m[b], s0 * s0 / 12
+        v = np.cov(r.T)
         q = lambda z: (z[a, a] + z[b, b] - 2 * z[a, b], 2 * (z[a, b] - z[b, b]), z[b, b])
-        c2, c1, c0 = q(c)
-        sharpe = [x for x in _unit_roots(d * d - k * c2, 2 * m[b] * d - k * c1, m[b] ** 2 - k * c0) if np.sign(m[b] + d * x) == np.sign(s0)]
+        sharpe = _sharpe_roots(r, rf, pair, s0)
         v2, v1, vc = q(v)
         out += [("sharpe", x) for x in sharpe] + [("vol", x) for x in _unit_roots(v2, v1, vc - v0)]
         g = lambda x: np.log1p(r[:, b] + x * (r[:, a] - r[:, b])).mean() - g0
@@ -278,6 +273,60 @@ def two_asset_roots(sample: DataFrame, pair: tuple[int, int] = (0, 2)) -> DataFr
     return sample.select("t", "r_ndx", "r_spx", "r_ust", "rf").groupBy(F.lit(1).alias("one")).applyInPandas(lambda pdf: solve(pdf), "kind string, x double")
 
 
+def two_asset_best(sample: DataFrame, pair: tuple[int, int] = (0, 2)) -> DataFrame:
+    """One row: ``x``, the share of highest Sharpe ratio among those whose growth is at least the benchmark's (null if none is), and ``status`` of the Sharpe roots.
+
+    Growth is concave in the share, so those shares are an interval around its maximum; the Sharpe ratio's only stationary point has a closed form.
+    """
+    a, b = pair
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        r, rf = pdf[["r_ndx", "r_spx", "r_ust"]].to_numpy(float), pdf["rf"].to_numpy(float)
+        base, move = r[:, b], r[:, a] - r[:, b]
+        growth = lambda x: np.log1p(base + x * move).mean()
+        floor = np.log1p(r[:, 1]).mean() - 1e-15
+        slope = lambda x: (move / (1 + base + x * move)).mean()
+        top = 0.0 if slope(0) <= 0 else 1.0 if slope(1) >= 0 else _bisect(slope, 0.0, 1.0)
+        path = G.Path(r, rf)
+
+        def sharpe(x: float) -> float:
+            w = np.zeros((1, 3))
+            w[0, a] += x
+            w[0, b] += 1 - x
+            return float(path.sharpe(w)[0])
+
+        own = float(path.sharpe(G.SPX[None])[0])
+        trivial = lambda x: (a == 1 and abs(x - 1) < 1e-9) or (b == 1 and abs(x) < 1e-9)
+        roots = [x for x in _sharpe_roots(r, rf, pair, own) if not trivial(x)]
+        status = "none" if not roots else "all-above" if len(roots) == 1 and sharpe((roots[0] + 1) / 2) > own else "ok"
+        best = None
+        if growth(top) >= floor:
+            over = lambda x: 1.0 if growth(x) >= floor else -1.0
+            low = 0.0 if over(0) > 0 else _bisect(over, 0.0, top)
+            high = 1.0 if over(1) > 0 else _bisect(over, top, 1.0)
+            e = r - rf[:, None]
+            m, c = e.mean(axis=0), np.cov(e.T)
+            d, c1, c2 = m[a] - m[b], 2 * (c[a, b] - c[b, b]), c[a, a] + c[b, b] - 2 * c[a, b]
+            den = d * c1 / 2 - m[b] * c2
+            tries = [low, high] + ([x for x in [(m[b] * c1 / 2 - d * c[b, b]) / den] if low < x < high] if den else [])
+            best = max(tries, key=sharpe)
+            best = float(best > 0.5) if trivial(best) else best
+        return pd.DataFrame([(best, status)], columns=["x", "status"])
+
+    return sample.select("t", "r_ndx", "r_spx", "r_ust", "rf").groupBy(F.lit(1).alias("one")).applyInPandas(lambda pdf: solve(pdf), "x double, status string")
+
+
+def _sharpe_roots(r: np.ndarray, rf: np.ndarray, pair: tuple[int, int], own: float) -> list[float]:
+    """Shares at which the mix's Sharpe ratio equals ``own``."""
+    a, b = pair
+    e = r - rf[:, None]
+    m, c = e.mean(axis=0), np.cov(e.T)
+    d, k = m[a] - m[b], own * own / 12
+    c2, c1, c0 = c[a, a] + c[b, b] - 2 * c[a, b], 2 * (c[a, b] - c[b, b]), c[b, b]
+    return [x for x in _unit_roots(d * d - k * c2, 2 * m[b] * d - k * c1, m[b] ** 2 - k * c0) if np.sign(m[b] + d * x) == np.sign(own)]
+
+
 def _unit_roots(a: float, b: float, c: float) -> list[float]:
     if abs(a) < 1e-300:
         xs = [] if b == 0 else [-c / b]

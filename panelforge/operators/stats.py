@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import sample as S
+
 SQ12 = 12**0.5
 
 
@@ -79,6 +81,8 @@ def moments(sample: DataFrame, by: list[str] | None = None) -> DataFrame:
         for b in names[i:]:
             out.append((12 * F.covar_samp(f"r_{a}", f"r_{b}")).alias(f"cov_{a}_{b}"))
             out.append((12 * F.covar_samp(F.col(f"r_{a}") - F.col("rf"), F.col(f"r_{b}") - F.col("rf"))).alias(f"covx_{a}_{b}"))
+    if "dgs10" in sample.columns:
+        out.append(S.annual_yield(F.max_by("dgs10", "t")).alias("y10"))  # the sample's last yield, as a year's return
     return sample.groupBy(*(by or [])).agg(*out)
 
 

@@ -10,10 +10,11 @@ from dataclasses import asdict, dataclass, fields, replace
 from urllib.parse import parse_qsl, urlencode
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import PanelError
 from ..functions.months import index_of, text_of
-from ..operators import compare, resample, solvers, stats, windows
+from ..operators import compare, portfolios, resample, rules, solvers, stats, windows
 from ..operators import sample as S
 
 KINDS = ("context", "sample", "alloc", "robust")
@@ -34,19 +35,22 @@ class Spec:
     vol_mult: float = 1.0
     te_cap: float | None = 0.05
     spread: float = 0.005
-    years: int = 3
-    lookback: int = 36
+    years: int = 10
+    lookback: int = 120
     trailing: bool = True
-    draws: int = 200
+    draws: int = 1000
     block: int = 24
     seed: int = 20260912
-    steps: int = 20
+    steps: int = 100
+    intercept: str = "implied"
+    c: float | None = None
+    year: str = "2022"
     m0: float | None = None
     w_ndx: float | None = None
     w_spx: float | None = None
 
     def checked(self) -> Spec:
-        tests = [(self.basis, BASES), (self.band, DIVIDENDS), (self.rule, RULES), (self.mu, MEANS)]
+        tests = [(self.basis, BASES), (self.band, DIVIDENDS), (self.rule, RULES), (self.mu, MEANS), (self.intercept, rules.INTERCEPTS)]
         if any(v not in allowed for v, allowed in tests):
             raise PanelError("E_BAD_RANGE", "unknown value")
         if not (0 <= self.wht <= 1 and 0 < self.vol_mult <= 5 and self.years > 0 and self.lookback >= 12 and 1 <= self.draws and self.steps > 0):
@@ -57,17 +61,21 @@ class Spec:
             solvers.normalise_weights([self.w_ndx, self.w_spx or 0.0, 1 - self.w_ndx - (self.w_spx or 0.0)])
         return self
 
+    def as_rule(self) -> rules.Rule:
+        w = None if self.w_ndx is None else (self.w_ndx, self.w_spx or 0.0, 1 - self.w_ndx - (self.w_spx or 0.0))
+        return rules.Rule(self.rule, self.mu, self.vol_mult, self.te_cap, self.spread, self.intercept, self.c, w)
+
     def keys(self) -> dict[str, str]:
         """What each kind depends on, as canonical JSON."""
         d = asdict(self)
         basis = {k: d[k] for k in ("basis", "band", "wht")}
         rng = basis | {k: d[k] for k in ("start", "end")}
-        rule = rng | {k: d[k] for k in ("mu", "rule", "vol_mult", "te_cap", "spread", "w_ndx", "w_spx")}
+        rule = rng | {k: d[k] for k in ("mu", "rule", "vol_mult", "te_cap", "spread", "intercept", "c", "w_ndx", "w_spx")}
         parts = {
             "context": basis | {k: d[k] for k in ("years", "m0")},
             "sample": rng | {"steps": d["steps"], "seed": d["seed"]},
             "alloc": rule,
-            "robust": rule | {k: d[k] for k in ("lookback", "trailing", "draws", "block", "seed")},
+            "robust": rule | {k: d[k] for k in ("lookback", "trailing", "draws", "block", "seed", "year")},
         }
         return {k: json.dumps(v, sort_keys=True) for k, v in parts.items()}
 
@@ -86,7 +94,7 @@ def parse_query(query: str) -> Spec:
                 got[name] = {"true": True, "false": False}[text.lower()]
             elif isinstance(default, int):
                 got[name] = int(text)
-            elif isinstance(default, float) or name in ("m0", "w_ndx", "w_spx"):
+            elif isinstance(default, float) or name in ("m0", "c", "w_ndx", "w_spx"):
                 got[name] = float(text)
             else:
                 got[name] = text
@@ -125,38 +133,51 @@ class Engine:
     def _sample(self, spec: Spec) -> dict[str, DataFrame]:
         s = S.build(self.panel, spec.start, spec.end, spec.basis, spec.band, spec.wht)
         m = stats.moments(s)
-        return {"head_to_head": compare.head_to_head(self.panel, spec.start, spec.end), "stats": stats.path_stats(S.long(s)), "relative_wealth": windows.relative_wealth(s), "moments": m, "frontier": solvers.frontier(m, []), "lattice": solvers.lattice(s, spec.steps), "references": solvers.evaluate(s, solvers.references(s.sparkSession))}
+        return {"head_to_head": compare.full_head_to_head(self.panel, spec.start, spec.end, spec.basis, spec.band, spec.wht, seed=spec.seed), "stats": stats.path_stats(S.long(s)), "relative_wealth": windows.relative_wealth(s), "moments": m, "frontier": solvers.frontier(m, []), "lattice": solvers.lattice(s, spec.steps), "references": solvers.evaluate(s, solvers.references(s.sparkSession))}
 
     def _context(self, spec: Spec) -> dict[str, DataFrame]:
         s = S.build(self.panel, basis=spec.basis, band=spec.band, wht=spec.wht)
         points = windows.rolling_excess(s, spec.years)
         lo, hi = self.panel.agg({"month": "min"}).first()[0], self.panel.agg({"month": "max"}).first()[0]
         ends = [lo, *(f"{y}-12" for y in range(int(lo[:4]) + 1, int(hi[:4]), 2)), hi]
+        named = {k: compare.named_period_table(self.panel, b, spec.basis, spec.band, spec.wht) for k, b in (("regimes", compare.regimes(hi)), ("decades", compare.decades(hi)))}
         table = compare.periods(s.sparkSession, compare.chained(ends))
-        return {"rolling": points, "rolling_summary": windows.rolling_summary(points), "losing_runs": windows.losing_runs(points), "periods": compare.period_table(s, table), "decomposition": compare.decomposition(self.panel, table, spec.band, spec.wht, spec.m0), "break_even": compare.break_even(self.panel), "coverage": windows.coverage(self.panel)}
+        return named | {"rolling": points, "rolling_summary": windows.rolling_summary(points), "losing_runs": windows.losing_runs(points), "periods": compare.period_table(s, table), "decomposition": compare.decomposition(self.panel, table, spec.band, spec.wht, spec.m0), "break_even": compare.break_even(self.panel), "coverage": windows.coverage(self.panel)}
 
     def _alloc(self, spec: Spec) -> dict[str, DataFrame]:
         s = S.build(self.panel, spec.start, spec.end, spec.basis, spec.band, spec.wht)
-        y10 = self.panel.agg({"dgs10": "max"}).first()[0] if spec.mu == "y10bond" else None
-        m = solvers.with_mu(stats.moments(s), spec.mu, y10)
-        iso = solvers.iso_vol(m, [], spec.vol_mult, spec.te_cap)
-        return {"iso_vol": iso, "feasibility": solvers.feasibility(m, spec.vol_mult), "kinked_line": solvers.kinked_line(m, [], spec.spread, spec.vol_mult), "path": solvers.optimise_path(s), "two_asset": solvers.two_asset_curve(s, steps=100), "two_asset_roots": solvers.two_asset_roots(s), "portfolios": solvers.evaluate(s, solvers.references(s.sparkSession))}
+        m = solvers.with_mu(stats.moments(s), spec.mu)
+        rule = spec.as_rule()
+        iso, items = rules.iso_vol_items(m, [], spec.vol_mult, spec.te_cap), rules.tangency_items(m, [], rule)
+        path, limits = solvers.optimise_path(s), rules.limit_path(m, [], spec.vol_mult)
+        active = rules.weights(s.withColumn("g", F.lit(1)), ["g"], replace(rule, levered=False)) if rule.kind != "twoAsset" else None
+        out = {
+            "iso_vol": iso, "limit_path": limits, "flat_top": rules.flat_top(s, limits), "feasibility": solvers.feasibility(m, spec.vol_mult), "tangency": items, "path_bounds": rules.path_bounds(m, rule.c, spec.vol_mult),
+            "kinked_line": solvers.kinked_line(m, [], spec.spread, spec.vol_mult), "path": path, "two_asset": solvers.two_asset_curve(s), "two_asset_roots": solvers.two_asset_roots(s), "two_asset_points": portfolios.two_asset_points(s),
+            "portfolios": portfolios.asked(s, iso, items, path, spec.spread),
+        }
+        if active is not None:
+            out["active"] = portfolios.held(s, active, spec.spread)
+        return out
 
     def _robust(self, spec: Spec) -> dict[str, DataFrame]:
+        full = S.build(self.panel, None, spec.end, spec.basis, spec.band, spec.wht)
         s = S.build(self.panel, spec.start, spec.end, spec.basis, spec.band, spec.wht)
-        n = S.check(s)
-        draws = resample.bootstrap_rule(s, n, spec.draws, spec.vol_mult, spec.te_cap, spec.block, spec.seed)
-        out = {"draws": draws, "draws_summary": resample.summarise_draws(draws), "walk_forward_weights": resample.walk_forward_weights(s, spec.lookback, spec.trailing, spec.vol_mult, spec.te_cap), "walk_forward": resample.walk_forward(s, spec.lookback, spec.trailing, spec.vol_mult, spec.te_cap), "sharpe_difference": resample.sharpe_difference(s, n, spec.draws, spec.block, spec.seed)}
-        if spec.rule == "tangency":
-            out["levered_draws"] = resample.bootstrap_levered(s, n, spec.draws, spec.spread, spec.vol_mult, spec.block, spec.seed)
+        n, out = S.check(s), {}
+        first = s.agg({"month": "min"}).first()[0]
+        rule = spec.as_rule()
+        if rule.kind == "custom" and rule.w is None:
+            m = solvers.with_mu(stats.moments(s), spec.mu)
+            rule = replace(rule, w=tuple(rules.default_custom(solvers.iso_vol(m, [], spec.vol_mult, spec.te_cap)).first()))
+        for stage, what, r in rules.plan(rule):
+            if what == "bootstrap":
+                draws = resample.bootstrap_rule(s, n, min(spec.draws, resample.DRAWS[r.kind]), r, spec.block, spec.seed)
+                out[stage] = draws
+                out[f"{stage}:summary"] = resample.summarise_draws(draws, rules.robust_variant(r.kind) == "levered")
+            else:
+                w = resample.walk_forward_weights(full, spec.lookback, spec.trailing, r, first)
+                out[f"{stage}:weights"] = w
+                out[stage] = resample.walk_forward(full, spec.lookback, spec.trailing, r, first)
+                out[f"{stage}:static"] = resample.walk_forward_static(full, w, r)
+                out[f"{stage}:notes"] = resample.walk_forward_notes(w, resample.walk_forward_returns(full, w, r.spread), spec.year)
         return out
-
-
-def robust_rule(rule: str) -> str:
-    """The rule that robustness views describe: rules without one of their own fall back to the default."""
-    return rule if rule in ("isoVolTe", "maxSharpeCagrFloor", "tangency") else "isoVolTe"
-
-
-def default_custom(spec: Spec, weights: list[float]) -> Spec:
-    """Custom weights as given, or from whole percents of another rule's."""
-    return replace(spec, rule="custom", w_ndx=weights[0], w_spx=weights[1])

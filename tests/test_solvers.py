@@ -99,7 +99,7 @@ def test_random_numbers(spark):
         return out
 
     bk = spark.range(6).select(F.col("id").alias("b")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    got = bk.select("b", "k", rng.draw_seed(42, F.col("b")).alias("s"), rng.uniform(rng.draw_seed(42, F.col("b")), F.col("k")).alias("u")).collect()
+    got = rng.with_uniform(bk.withColumn("s", rng.draw_seed(42, F.col("b"))), "u", F.col("s"), F.col("k")).collect()
     for b in range(6):
         seed = 42 ^ ((b + 1) * 0x9E3779B1 & 0xFFFFFFFF)
         want = plain(seed, 20)
