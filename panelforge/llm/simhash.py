@@ -9,8 +9,10 @@ bits it can hold 4,096 at most, so the size of a tree is bounded whatever the da
 union-find keeps one link per merge (a spanning forest), never all pairs.
 
 ``keep_unlike`` is the same for texts of a given similarity instead of a radius of 64 bits: three bits of 64
-find only some of the texts that are 0.8 alike or more, so it takes wide fingerprints, whose
-shards agree on seeded picks of bits and whose trees are searched with the radius that the similarity allows.
+find only some of the texts that are 0.8 alike or more, so it takes wide fingerprints of the sets of shingles, whose
+shards agree on seeded picks of bits. Their trees are searched some standard errors beyond the distance that the similarity allows, and
+what they find is a candidate only: a pair is linked if its sets of shingles have the similarity. Texts that are linked already need no further comparison,
+so each text's nearest candidate is checked first and the others only where that leaves classes apart.
 
 Defined results: null and empty texts have fingerprint 0 and link like any other; null ids take part
 but never name a component (a component of null ids only has a null id); repeated rows share a result.
@@ -19,7 +21,7 @@ but never name a component (a component of null ids only has a null id); repeate
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -81,11 +83,16 @@ def wide_majority(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """XXH64 (seed 42) of a text's distinct word shingles, sorted."""
+    parts = set(shingles(space_words(text), size))
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts)))
+
+
 def wide_fingerprint(text: bytes, size: int, words: int) -> bytes:
-    """A SimHash of 64 x ``words`` bits over word shingles; a text without words has none."""
-    parts = shingles(space_words(text), size)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts))
-    return wide_majority(hashes, words).astype("<u8").tobytes() if parts else b""
+    """A SimHash of 64 x ``words`` bits over the distinct word shingles; a text without words has none."""
+    hashes = shingle_set(text, size)
+    return wide_majority(hashes, words).astype("<u8").tobytes() if len(hashes) else b""
 
 
 def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
@@ -313,150 +320,229 @@ def _deal(words: int, width: int, keys: int, seed: int):
     return run
 
 
-def _wide_trees(radius: int):
-    """Rows come sorted by key; each run of one key is a shard with its own BK-tree over the wide fingerprints."""
+def near_pairs(values: list[int], tight: int, wide: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]], set[int]]:
+    """What one shard of distinct values holds, by a BK-tree: links within ``tight`` (one for each merge), for each value its nearest other one within ``wide`` that these don't connect,
+    and the values that have further ones."""
+    if len(values) == 2:
+        d = (values[0] ^ values[1]).bit_count()
+        return ([(0, 1)], [], set()) if d <= tight else ([], [(0, 1)], set()) if d <= wide else ([], [], set())
+    tree, parent, loose, sure = BKTree(wide), [], [], []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for v in values:
+        near = tree.near(v)
+        x = tree.add(v)
+        parent.append(x)
+        for y in near:
+            d = (values[y] ^ v).bit_count()
+            if d > tight:
+                loose.append((d, y, x))
+            elif root(x) != root(y):
+                parent[root(x)] = root(y)
+                sure.append((y, x))
+    nearest: dict[int, tuple[int, int]] = {}
+    count: dict[int, int] = {}
+    for d, y, x in sorted(loose):
+        if root(x) != root(y):
+            for i, j in ((x, y), (y, x)):
+                nearest.setdefault(i, (min(i, j), max(i, j)))
+                count[i] = count.get(i, 0) + 1
+    again = {i for i, n in count.items() if n > 1}
+    again |= {j for d, y, x in loose if root(x) != root(y) and (x in again or y in again) for j in (x, y)}
+    return sure, sorted(set(nearest.values())), again
+
+
+SURE, NEAREST, OPEN = 0, 1, 2
+_FOUND = "key long, a long, b long, kind int"
+
 
-    def flush(nodes: list[int], prints: list[bytes], out: list[tuple[int, int]]) -> None:
-        distinct = dict(zip(prints, nodes, strict=True))
-        if len(distinct) > 1:
-            value = {int.from_bytes(p, "little"): n for p, n in distinct.items()}
-            out += [(value[a], value[b]) for a, b in spanning_links(sorted(value), radius)]
+def _shard_pairs(tight: int, wide: int):
+    """Rows (key, node, print) come sorted by key; each run of one key is a shard. Gives (key, a, b, kind): sure links, nearest candidates, and the nodes (a) of a shard that have further candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, nodes, prints = None, [], []
+        last, shard, out = None, {}, []
+
+        def close() -> None:
+            if len(shard) > 1:
+                value = sorted(shard)
+                node = [shard[v] for v in value]
+                sure, nearest, again = near_pairs([int.from_bytes(v, "little") for v in value], tight, wide)
+                for kind, pairs in ((SURE, sure), (NEAREST, nearest)):
+                    out.extend((last, min(node[i], node[j]), max(node[i], node[j]), kind) for i, j in pairs)
+                out.extend((last, node[i], node[i], OPEN) for i in again)
+
+        def told() -> pa.RecordBatch:
+            columns = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["key", "a", "b", "kind"])
+
         for batch in batches:
-            out: list[tuple[int, int]] = []
             for key, node, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != last:
-                    if len(nodes) > 1:
-                        flush(nodes, prints, out)
-                    last, nodes, prints = key, [], []
-                nodes.append(node)
-                prints.append(p)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
-        out = []
-        if len(nodes) > 1:
-            flush(nodes, prints, out)
+                    close()
+                    last, shard = key, {}
+                shard[p] = min(node, shard.get(p, node))
+            if len(out) > 1000:
+                yield told()
+                out.clear()
+        close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+            yield told()
 
     return run
 
 
-def _crossing(radius: int):
-    """Rows (key, side, class, print) come sorted by key: of each key, every row of side 1 is compared with every one of side 2; links between the classes that meet."""
+def _across(wide: int, nearest: bool):
+    """Rows (key, side, class, node, print) come sorted by key: of each key, every row of side 1 meets every one of side 2. Gives (a, b) within ``wide`` and of different classes: all of them, or the nearest of each row of side 1."""
 
-    def links(side: np.ndarray, kind: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
-        one, two = side == 1, side == 2
-        met = set()
-        for at in range(0, int(one.sum()), 256):
-            own, own_kind = prints[one][at : at + 256], kind[one][at : at + 256]
-            apart = np.zeros((len(own), int(two.sum())), np.uint16)
+    def meet(side: np.ndarray, kind: np.ndarray, node: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        one, two = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+        for at in range(0, len(one) if len(two) else 0, 256):
+            own = one[at : at + 256]
+            apart = np.zeros((len(own), len(two)), np.uint16)
             for w in range(prints.shape[1]):
-                apart += np.bitwise_count(own[:, w, None] ^ prints[two][None, :, w])
-            i, j = np.nonzero((apart <= radius) & (own_kind[:, None] != kind[two][None, :]))
+                apart += np.bitwise_count(prints[own, w][:, None] ^ prints[two, w][None, :])
+            apart[kind[own][:, None] == kind[two][None, :]] = 65535
+            if nearest:
+                j = apart.argmin(axis=1)
+                i = np.flatnonzero(apart[np.arange(len(own)), j] <= wide)
+                j = j[i]
+            else:
+                i, j = np.nonzero(apart <= wide)
             if len(i):
-                met |= set(map(tuple, np.unique(np.stack([own_kind[i], kind[two][j]], axis=1), axis=0).tolist()))
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        out = []
-        for x, y in sorted(met):
-            if root(x) != root(y):
-                parent[root(x)] = root(y)
-                out.append((x, y))
-        return out
+                a, b = node[own[i]], node[two[j]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, parts = None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if parts and (out := links(*(np.concatenate(x) for x in zip(*parts, strict=True)))):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, side, kind = (batch.column(i).to_numpy() for i in range(3))
-            prints = np.frombuffer(b"".join(x.as_py() for x in batch.column(3)), "<u8").reshape(batch.num_rows, -1)
+            keys, side, kind, node = (batch.column(i).to_numpy() for i in range(4))
+            prints = np.frombuffer(b"".join(x.as_py() for x in batch.column(4)), "<u8").reshape(batch.num_rows, -1)
             edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), batch.num_rows]
             for a, b in zip(edges, edges[1:], strict=False):
                 if keys[a] != last:
-                    yield from flush()
+                    if parts:
+                        yield from meet(*(np.concatenate(x) for x in zip(*parts, strict=True)))
                     last, parts = keys[a], []
-                parts.append((side[a:b], kind[a:b], prints[a:b]))
-        yield from flush()
+                parts.append((side[a:b], kind[a:b], node[a:b], prints[a:b]))
+        if parts:
+            yield from meet(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return run
 
 
-def similar_links(prints: DataFrame, words: int, similarity: float = 0.8, cap: int = 512) -> DataFrame:
-    """(a, b): links between ``node``s whose wide fingerprints differ in at most the share of bits that the similarity allows.
+def checked_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of distinct pairs (a, b) of nodes those whose sets (``node``, ``set``: sorted 32-bit hashes as bytes) have the Jaccard similarity or more."""
+    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    own = materialise(sets.join(need, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
-    A shard holds the fingerprints that agree on a key of bits; every fingerprint has many keys, long enough that
-    unlike texts seldom share one. Rows of a shard over ``cap`` are first searched in parts of about ``cap``, dealt anew in
-    each shard, which joins most of a group. Pairs within one class need no comparison after that; all others of such
-    a shard are compared: the rows outside its largest class with all its rows, in blocks of bounded size. So the links
-    connect the same classes as all pairs that share a key and are within the radius.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), "<u4") for v in (x, y))
+                few, many = sorted((len(x), len(y)))
+                if few < similarity * many - 1e-9:  # no overlap is large enough
+                    keep.append(False)
+                    continue
+                all_ = np.sort(np.concatenate([x, y]), kind="stable")
+                common = int((all_[1:] == all_[:-1]).sum())
+                keep.append(common >= similarity * (few + many - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return materialise(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+
+
+def similar_links(prints: DataFrame, words: int, check: Callable[[DataFrame], DataFrame], similarity: float = 0.8, cap: int = 512, beyond: float = 2.33) -> DataFrame:
+    """(a, b): links between ``node``s that connect the same classes as all pairs that share a key, are near by their wide fingerprints, and that ``check`` lets pass.
+
+    A shard holds the fingerprints that agree on a key of bits; every fingerprint has many keys, long enough that unlike texts seldom share one.
+    Near is ``beyond`` standard errors over the distance expected at the similarity (2.33: one pair in a hundred at exactly that similarity is farther). Rows of a shard over ``cap`` are first
+    searched in parts of about ``cap``, dealt anew in each shard, which joins most of a group. Then, in shards where classes may still
+    belong together, the rows outside the largest class meet all its rows, in blocks of bounded size: first each row's nearest, then whatever is left.
+    Every pair is checked once, and none between texts that are in one class already.
     """
     share = allowed_share(similarity)
+    bits = 64 * words
     width, keys = shard_plan(prints.count(), share)
-    radius, kinds = int(64 * words * share), "key long, node long, print binary"
+    error = math.sqrt(bits * share * (1 - share))
+    tight, wide = int(bits * share - 3 * error), int(bits * share + beyond * error)
 
-    def trees(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_trees(radius), "a long, b long")
+    def shards(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shard_pairs(tight, wide), _FOUND)
 
-    dealt = prints.select(F.lit(0).cast("long").alias("key"), "node", "print").mapInArrow(_deal(words, width, keys, 1), kinds)
+    dealt = prints.select(F.lit(0).cast("long").alias("key"), "node", "print").mapInArrow(_deal(words, width, keys, 1), "key long, node long, print binary")
     large = materialise(dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > cap))
     if large.isEmpty():
-        return materialise(trees(dealt).distinct())
-    found = materialise(trees(dealt.join(large, "key", "left_anti")).distinct())
-    hot = materialise(dealt.join(large, "key"))
-    part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / cap))
-    found = materialise(found.unionByName(trees(hot.select(F.xxhash64("key", part).alias("key"), "node", "print"))).distinct())
-    classes = components(found).select("node", F.col("root").alias("class"))
-    rows = materialise(hot.select("key", "node", "print").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")))
+        found = materialise(shards(dealt))
+        open_rows = found.filter(F.col("kind") == OPEN).select("key", F.col("a").alias("node"))
+    else:
+        hot = materialise(dealt.join(large, "key"))
+        part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / cap))
+        found = materialise(shards(dealt.join(large, "key", "left_anti")).unionByName(shards(hot.select(F.xxhash64("key", part).alias("key"), "node", "print")).filter(F.col("kind") != OPEN)))
+        open_rows = found.filter(F.col("kind") == OPEN).select("key", F.col("a").alias("node")).unionByName(hot.select("key", "node"))
+    seen = materialise(found.filter(F.col("kind") != OPEN).select("a", "b").distinct())
+    good = check(seen)
+    for nearest in (True, False):
+        classes = components(good).select("node", F.col("root").alias("class"))
+        rows = open_rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        blocks = _open_blocks(rows, 4 * cap)
+        if blocks is None:
+            break
+        met = blocks.join(prints, "node").select("key", "side", "class", "node", "print").repartition("key").sortWithinPartitions("key")
+        new = met.mapInArrow(_across(wide, nearest), "a long, b long").distinct().join(seen, ["a", "b"], "left_anti")
+        new = materialise(new)
+        good = materialise(good.unionByName(check(new)))
+        seen = materialise(seen.unionByName(new)) if nearest else seen
+    return good
+
+
+def _open_blocks(rows: DataFrame, block: int) -> DataFrame | None:
+    """Blocks (key, side, class, node) in which the rows of a shard (key, node, class) outside its largest class meet all its rows; none where every shard is one class."""
+    rows = materialise(rows)
     sizes = rows.groupBy("key", "class").agg(F.count("*").alias("m"))
     shards = sizes.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "class")).alias("main")).filter("n > main.m")
-    block = 4 * cap
     shards = materialise(shards.select("key", F.col("main.class").alias("main"), F.ceil((F.col("n") - F.col("main.m")) / block).alias("across"), F.ceil(F.col("n") / block).alias("down")))
     if shards.isEmpty():
-        return found
+        return None
     rows = rows.join(shards, "key")
 
     def side(rows: DataFrame, number: int, own: str, other: str) -> DataFrame:
-        rows = rows.select("key", "class", "print", F.pmod(F.xxhash64("node", "key", F.lit(number)), F.col(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other))
-        return rows.select(F.xxhash64("key", "across", "down").alias("key"), F.lit(number).alias("side"), "class", "print")
+        rows = rows.select("key", "class", "node", F.pmod(F.xxhash64("node", "key", F.lit(number)), F.col(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other))
+        return rows.select(F.xxhash64("key", "across", "down").alias("key"), F.lit(number).alias("side"), "class", "node")
 
-    blocks = side(rows.filter("class <> main"), 1, "across", "down").unionByName(side(rows, 2, "down", "across"))
-    return materialise(found.unionByName(blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_crossing(radius), "a long, b long")).distinct())
+    return side(rows.filter("class <> main"), 1, "across", "down").unionByName(side(rows, 2, "down", "across"))
 
 
 def keep_unlike(docs: DataFrame, id_col: str = "doc_id", size: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
     """One document of each group of texts that are alike: the one with the smallest id, then the smallest hash of its text; null ids come last.
 
-    Alike are texts whose shingle vectors are estimated, from ``64 * words`` bits of SimHash, to have the similarity
-    or more (Jaccard's, at equal lengths; 256 bits put its standard error near 0.03). Texts without words are alike.
+    Alike are texts whose sets of word shingles have the Jaccard similarity or more; ``64 * words`` bits of SimHash find the pairs to compare. Sets
+    are compared by 32-bit hashes. Texts without words are alike.
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), text_bytes().alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(t.as_py(), size, words) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["__id", "text_hash", "print"])
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
+                sets = [shingle_set(t.as_py(), size) for t in b.column(2)]
+                prints = [wide_majority(h, words).astype("<u8").tobytes() if len(h) else b"" for h in sets]
+                short = [np.unique(h.astype(np.uint32)).astype("<u4").tobytes() for h in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.binary()), pa.array(short, pa.binary())], ["__id", "text_hash", "print", "set"])
 
     kind = rows.schema["__id"].dataType.simpleString()
-    each = materialise(rows.mapInArrow(run, f"__id {kind}, text_hash long, print binary"))
-    each = each.withColumn("node", F.xxhash64("print"))
+    each = materialise(rows.mapInArrow(run, f"__id {kind}, text_hash long, print binary, set binary").withColumn("node", F.xxhash64("print", "set")))
     key = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("text_hash").alias("hash"))
-    distinct = each.groupBy("node").agg(F.first("print").alias("print"), F.min(key).alias("k"))
-    distinct = materialise(distinct)
-    roots = components(similar_links(distinct.filter(F.length("print") > 0).select("node", "print"), words, similarity))
+    distinct = materialise(each.groupBy("node", "print").agg(F.min(key).alias("k")))  # texts of equal sets are one node
+    sets = each.select("node", "set")
+    roots = components(similar_links(distinct.filter(F.length("print") > 0).select("node", "print"), words, lambda pairs: checked_pairs(pairs, sets, similarity), similarity))
     named = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("k").alias("k")).select("k.*")
     kept = with_key(first.select(F.col("id").alias(id_col), "hash", F.lit(None).cast("string").alias("text")), id_col)

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -105,18 +106,40 @@ def test_wide_bits_are_majorities():
 
 
 def test_keep_unlike_against_shingle_sets(spark, sf):
+    """Classes are those of all pairs with a similarity of 0.8 or more, by brute force."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r.doc_id for r in simhash.keep_unlike(docs).select("doc_id").collect()}
     sets = {r.doc_id: set(simhash.shingles(simhash.space_words(r.text.encode()), 5)) for r in docs.collect()}
-    ids, best = sorted(sets), dict.fromkeys(sets, 0.0)
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b:
-                j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-                best[a], best[b] = max(best[a], j), max(best[b], j)
-                assert j < 0.9 or not (a in kept and b in kept), (a, b, j)
-    gone = [i for i in ids if i not in kept]
-    assert gone and all(best[i] > 0.6 for i in gone)
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert kept == {i for i in ids if root(i) == i}
+
+
+def within(radius):
+    """A check that lets pairs pass by the distance of their fingerprints."""
+
+    def check(prints):
+        held = {r.node: int.from_bytes(r.print, "little") for r in prints.collect()}
+        good = F.udf(lambda a, b: (held[a] ^ held[b]).bit_count() <= radius, "boolean")
+        return lambda pairs: pairs.filter(good("a", "b"))
+
+    return check
+
+
+def classes(prints, cap, radius=38):
+    links = simhash.similar_links(prints, 4, within(radius)(prints), cap=cap)
+    return {r.node: r.root for r in simhash.components(links).collect()}
 
 
 def test_keep_unlike_splits_hot_shards(spark):
@@ -130,14 +153,14 @@ def test_keep_unlike_splits_hot_shards(spark):
         rows.append((k, " ".join(w)))
     rows += [(1000 + k, " ".join(f"w{x}" for x in rng.integers(0, 5000, 80))) for k in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    prints = docs.rdd.map(lambda r: (r.doc_id, bytearray(simhash.wide_fingerprint(r.text.encode(), 5, 4)))).toDF("node long, print binary")
-    roots = {r.node: r.root for r in simhash.components(simhash.similar_links(prints, 4, cap=20)).collect()}
+    prints = spark.createDataFrame([(i, bytearray(simhash.wide_fingerprint(t.encode(), 5, 4))) for i, t in rows], "node long, print binary")
+    roots = classes(prints, 20)
     assert len({roots.get(k, k) for k in range(150)}) == 1 and all(roots.get(1000 + k, 1000 + k) == 1000 + k for k in range(50))
     assert sorted(r.doc_id for r in simhash.keep_unlike(docs).collect()) == [0, *range(1000, 1050)]
 
 
 def test_hot_shards_lose_no_link(spark):
-    """Variants that are near their original but not near each other hang together by one row of a hot shard."""
+    """Variants that are near their original but not near each other hang together by one row, whether their shard is searched whole or in parts."""
     rng = np.random.default_rng(11)
     base = rng.integers(0, 2, 256)
     rows = [(1000, bytearray(np.packbits(base).tobytes()))]
@@ -146,11 +169,43 @@ def test_hot_shards_lose_no_link(spark):
         bits[rng.choice(256, 30, replace=False)] ^= 1
         rows.append((k, bytearray(np.packbits(bits).tobytes())))
     prints = spark.createDataFrame(rows, "node long, print binary")
-    whole = {r.node: r.root for r in simhash.components(simhash.similar_links(prints, 4, cap=1000)).collect()}
-    cut = {r.node: r.root for r in simhash.components(simhash.similar_links(prints, 4, cap=20)).collect()}
+    whole, cut = classes(prints, 1000), classes(prints, 20)
     assert cut == whole and len(set(cut.values())) == 1 and len(cut) > 295
 
 
+def test_near_pairs_against_brute_force():
+    rng = np.random.default_rng(5)
+    base = [int(x) for x in rng.integers(0, 1 << 62, 6)]
+    values = sorted({b ^ sum(1 << int(k) for k in rng.choice(60, int(n), replace=False)) for b in base for n in rng.integers(0, 14, 12)})
+    for tight, wide in ((2, 6), (0, 3), (5, 12), (3, 3)):
+        sure, nearest, again = simhash.near_pairs(values, tight, wide)
+        d = lambda i, j: (values[i] ^ values[j]).bit_count()
+        assert all(d(i, j) <= tight for i, j in sure) and all(tight < d(i, j) <= wide for i, j in nearest)
+        parent = list(range(len(values)))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, j in sure:
+            parent[root(i)] = root(j)
+        for i in range(len(values)):
+            others = [j for j in range(len(values)) if root(j) != root(i) and d(i, j) <= wide]
+            assert all(root(i) == root(j) for j in range(len(values)) if j != i and d(i, j) <= tight)
+            assert bool(others) == any(i in p for p in nearest)
+            assert len(others) < 2 or {i, *others} <= again
+
+
+def test_checked_pairs(spark):
+    texts = {1: "a b c d e f g h i j", 2: "a b c d e f g h i j k", 3: "x y z", 4: "x y z", 5: "a b c d e f g h i j k l m n"}
+    sets = {k: simhash.shingle_set(t.encode(), 5).astype(np.uint32) for k, t in texts.items()}
+    frame = spark.createDataFrame([(k, bytearray(np.unique(v).astype("<u4").tobytes())) for k, v in sets.items()], "node long, set binary")
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts if a < b], "a long, b long")
+    got = {tuple(r) for r in simhash.checked_pairs(pairs, frame, 0.8).collect()}
+    assert got == {(a, b) for a in texts for b in texts if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+
+
 def test_keep_unlike_awkward(awkward, empty):
     kept = simhash.keep_unlike(awkward)
     assert kept.columns == awkward.columns
