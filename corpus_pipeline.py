@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm import fm_index, hilbert, mixing, quality, simhash
-from panelforge.llm.common import shared_dir, table
+from panelforge.llm.common import remove_folder, shared_dir, table
 from panelforge.session import reach
 
 
@@ -22,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: shingles of five words, a similarity of 0.8 or more by wide SimHash."""
+    """Keeps one document of each group of near copies: shingles of five words, found by wide SimHash and compared, a similarity of 0.8 or more."""
     return simhash.keep_unlike(docs, size=5, similarity=0.8)
 
 
@@ -58,11 +58,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. The shards are written as folders, in slot order, so that readers skip them by shard and by the ranges in their files; what a stage wrote goes when the next one has read it."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        out = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            out.write.parquet(path)
+        else:
+            hilbert.write_sharded(out, path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before is not None:
+            remove_folder(spark, before)
+        before = path
     return docs
