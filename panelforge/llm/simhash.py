@@ -10,9 +10,9 @@ union-find keeps one link per merge (a spanning forest), never all pairs.
 
 ``keep_unlike`` is the same for texts of a given similarity instead of a radius of 64 bits: three bits of 64
 find only some of the texts that are 0.8 alike or more, so it takes wide fingerprints of the sets of shingles, whose
-shards agree on seeded picks of bits. Their trees are searched some standard errors beyond the distance that the similarity allows, and
-what they find is a candidate only: a pair is linked if its sets of shingles have the similarity. Texts that are linked already need no further comparison,
-so each text's nearest candidate is checked first and the others only where that leaves classes apart.
+shards agree on seeded picks of bits. Texts whose fingerprints are three standard errors nearer than the similarity asks for are linked at once; those up to some standard errors
+farther are candidates only, whose sets of shingles are compared. Candidates that hang together form a group, whose classes are compared in blocks
+with the sets at hand: no list of pairs is ever written, only the links that are found.
 
 Defined results: null and empty texts have fingerprint 0 and link like any other; null ids take part
 but never name a component (a component of null ids only has a null id); repeated rows share a result.
@@ -21,7 +21,7 @@ but never name a component (a component of null ids only has a null id); repeate
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -320,12 +320,11 @@ def _deal(words: int, width: int, keys: int, seed: int):
     return run
 
 
-def near_pairs(values: list[int], tight: int, wide: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]], set[int]]:
-    """What one shard of distinct values holds, by a BK-tree: links within ``tight`` (one for each merge), for each value its nearest other one within ``wide`` that these don't connect,
-    and the values that have further ones."""
+def near_pairs(values: list[int], tight: int, wide: int) -> tuple[list[tuple[int, int]], set[int]]:
+    """What one shard of distinct values holds, by a BK-tree: links within ``tight``, one for each merge, and the values that are within ``wide`` of one that these don't connect them with."""
     if len(values) == 2:
         d = (values[0] ^ values[1]).bit_count()
-        return ([(0, 1)], [], set()) if d <= tight else ([], [(0, 1)], set()) if d <= wide else ([], [], set())
+        return ([(0, 1)], set()) if d <= tight else ([], {0, 1}) if d <= wide else ([], set())
     tree, parent, loose, sure = BKTree(wide), [], [], []
 
     def root(x: int) -> int:
@@ -338,30 +337,17 @@ def near_pairs(values: list[int], tight: int, wide: int) -> tuple[list[tuple[int
         x = tree.add(v)
         parent.append(x)
         for y in near:
-            d = (values[y] ^ v).bit_count()
-            if d > tight:
-                loose.append((d, y, x))
+            if (values[y] ^ v).bit_count() > tight:
+                if root(x) != root(y):
+                    loose.append((y, x))
             elif root(x) != root(y):
                 parent[root(x)] = root(y)
                 sure.append((y, x))
-    nearest: dict[int, tuple[int, int]] = {}
-    count: dict[int, int] = {}
-    for d, y, x in sorted(loose):
-        if root(x) != root(y):
-            for i, j in ((x, y), (y, x)):
-                nearest.setdefault(i, (min(i, j), max(i, j)))
-                count[i] = count.get(i, 0) + 1
-    again = {i for i, n in count.items() if n > 1}
-    again |= {j for d, y, x in loose if root(x) != root(y) and (x in again or y in again) for j in (x, y)}
-    return sure, sorted(set(nearest.values())), again
-
-
-SURE, NEAREST, OPEN = 0, 1, 2
-_FOUND = "key long, a long, b long, kind int"
+    return sure, {i for y, x in loose if root(x) != root(y) for i in (x, y)}
 
 
 def _shard_pairs(tight: int, wide: int):
-    """Rows (key, node, print) come sorted by key; each run of one key is a shard. Gives (key, a, b, kind): sure links, nearest candidates, and the nodes (a) of a shard that have further candidates."""
+    """Rows (key, node, print) come sorted by key; each run of one key is a shard. Gives (key, a, b): sure links, and with a = b the nodes that have candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, shard, out = None, {}, []
@@ -370,14 +356,12 @@ def _shard_pairs(tight: int, wide: int):
             if len(shard) > 1:
                 value = sorted(shard)
                 node = [shard[v] for v in value]
-                sure, nearest, again = near_pairs([int.from_bytes(v, "little") for v in value], tight, wide)
-                for kind, pairs in ((SURE, sure), (NEAREST, nearest)):
-                    out.extend((last, min(node[i], node[j]), max(node[i], node[j]), kind) for i, j in pairs)
-                out.extend((last, node[i], node[i], OPEN) for i in again)
+                sure, again = near_pairs([int.from_bytes(v, "little") for v in value], tight, wide)
+                out.extend((last, node[i], node[j]) for i, j in sure)
+                out.extend((last, node[i], node[i]) for i in again)
 
         def told() -> pa.RecordBatch:
-            columns = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["key", "a", "b", "kind"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["key", "a", "b"])
 
         for batch in batches:
             for key, node, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -395,78 +379,82 @@ def _shard_pairs(tight: int, wide: int):
     return run
 
 
-def _across(wide: int, nearest: bool):
-    """Rows (key, side, class, node, print) come sorted by key: of each key, every row of side 1 meets every one of side 2. Gives (a, b) within ``wide`` and of different classes: all of them, or the nearest of each row of side 1."""
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets of hashes have the Jaccard similarity or more."""
+    few, many = sorted((len(x), len(y)))
+    if few < similarity * many - 1e-9:  # no overlap is large enough
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (few + many - common) - 1e-9
+
+
+def _across(wide: int, similarity: float):
+    """Rows (key, side, class, node, print, set) come sorted by key: of each key, every row of side 1 meets every one of side 2. Gives (a, b): links between classes, one for each merge.
+
+    A row's candidates are those within ``wide``; nearest first, their sets are compared until its class and theirs are one.
+    """
+
+    def meet(side: np.ndarray, kind: np.ndarray, node: np.ndarray, prints: np.ndarray, sets: np.ndarray) -> list[tuple[int, int]]:
+        one, two, out = np.flatnonzero(side == 1), np.flatnonzero(side == 2), []
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
 
-    def meet(side: np.ndarray, kind: np.ndarray, node: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
-        one, two = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
         for at in range(0, len(one) if len(two) else 0, 256):
             own = one[at : at + 256]
             apart = np.zeros((len(own), len(two)), np.uint16)
             for w in range(prints.shape[1]):
                 apart += np.bitwise_count(prints[own, w][:, None] ^ prints[two, w][None, :])
             apart[kind[own][:, None] == kind[two][None, :]] = 65535
-            if nearest:
-                j = apart.argmin(axis=1)
-                i = np.flatnonzero(apart[np.arange(len(own)), j] <= wide)
-                j = j[i]
-            else:
-                i, j = np.nonzero(apart <= wide)
-            if len(i):
-                a, b = node[own[i]], node[two[j]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            for i, row in zip(own.tolist(), apart, strict=True):
+                near = np.flatnonzero(row <= wide)
+                if not len(near):
+                    continue
+                x, mine = np.frombuffer(sets[i], "<u4"), int(kind[i])
+                for j in two[near[np.argsort(row[near], kind="stable")]].tolist():
+                    theirs = int(kind[j])
+                    if root(mine) != root(theirs) and alike(x, np.frombuffer(sets[j], "<u4"), similarity):
+                        parent[root(mine)] = root(theirs)
+                        out.append((int(node[i]), int(node[j])))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, parts = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if parts and (out := meet(*(np.concatenate(x) for x in zip(*parts, strict=True)))):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, side, kind, node = (batch.column(i).to_numpy() for i in range(4))
             prints = np.frombuffer(b"".join(x.as_py() for x in batch.column(4)), "<u8").reshape(batch.num_rows, -1)
+            sets = np.empty(batch.num_rows, object)
+            sets[:] = batch.column(5).to_pylist()
             edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), batch.num_rows]
             for a, b in zip(edges, edges[1:], strict=False):
                 if keys[a] != last:
-                    if parts:
-                        yield from meet(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    yield from close()
                     last, parts = keys[a], []
-                parts.append((side[a:b], kind[a:b], node[a:b], prints[a:b]))
-        if parts:
-            yield from meet(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                parts.append((side[a:b], kind[a:b], node[a:b], prints[a:b], sets[a:b]))
+        yield from close()
 
     return run
 
 
-def checked_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of distinct pairs (a, b) of nodes those whose sets (``node``, ``set``: sorted 32-bit hashes as bytes) have the Jaccard similarity or more."""
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    own = materialise(sets.join(need, "node", "left_semi").dropDuplicates(["node"]))
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), "<u4") for v in (x, y))
-                few, many = sorted((len(x), len(y)))
-                if few < similarity * many - 1e-9:  # no overlap is large enough
-                    keep.append(False)
-                    continue
-                all_ = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((all_[1:] == all_[:-1]).sum())
-                keep.append(common >= similarity * (few + many - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return materialise(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
-
-
-def similar_links(prints: DataFrame, words: int, check: Callable[[DataFrame], DataFrame], similarity: float = 0.8, cap: int = 512, beyond: float = 2.33) -> DataFrame:
-    """(a, b): links between ``node``s that connect the same classes as all pairs that share a key, are near by their wide fingerprints, and that ``check`` lets pass.
+def similar_links(prints: DataFrame, sets: DataFrame, words: int, similarity: float = 0.8, cap: int = 512, beyond: float = 2.33) -> DataFrame:
+    """(a, b): links between the ``node``s of ``prints`` that connect the classes of all pairs that share a key, are near by their wide fingerprints, and are alike by their sets (``node``, ``set``: sorted 32-bit hashes).
 
     A shard holds the fingerprints that agree on a key of bits; every fingerprint has many keys, long enough that unlike texts seldom share one.
-    Near is ``beyond`` standard errors over the distance expected at the similarity (2.33: one pair in a hundred at exactly that similarity is farther). Rows of a shard over ``cap`` are first
-    searched in parts of about ``cap``, dealt anew in each shard, which joins most of a group. Then, in shards where classes may still
-    belong together, the rows outside the largest class meet all its rows, in blocks of bounded size: first each row's nearest, then whatever is left.
-    Every pair is checked once, and none between texts that are in one class already.
+    Near is ``beyond`` standard errors over the distance expected at the similarity (2.33: one pair in a hundred at exactly that similarity is farther). Pairs three standard errors under it
+    are taken for alike unseen: one in 700 of those at exactly the similarity is so near, and one in 15,000 of those 0.05 under it. Rows of a shard over ``cap`` are
+    searched in parts of about ``cap``, dealt anew in each shard, which joins most of a group, and are candidates all. Nodes with candidates form groups by the
+    shards that they share; in each, the rows outside the largest class meet all its rows, in blocks of bounded size, once.
     """
     share = allowed_share(similarity)
     bits = 64 * words
@@ -475,43 +463,45 @@ def similar_links(prints: DataFrame, words: int, check: Callable[[DataFrame], Da
     tight, wide = int(bits * share - 3 * error), int(bits * share + beyond * error)
 
     def shards(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shard_pairs(tight, wide), _FOUND)
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shard_pairs(tight, wide), "key long, a long, b long")
 
     dealt = prints.select(F.lit(0).cast("long").alias("key"), "node", "print").mapInArrow(_deal(words, width, keys, 1), "key long, node long, print binary")
     large = materialise(dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > cap))
     if large.isEmpty():
         found = materialise(shards(dealt))
-        open_rows = found.filter(F.col("kind") == OPEN).select("key", F.col("a").alias("node"))
+        open_rows = found.filter("a = b").select("key", F.col("a").alias("node"))
     else:
         hot = materialise(dealt.join(large, "key"))
         part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / cap))
-        found = materialise(shards(dealt.join(large, "key", "left_anti")).unionByName(shards(hot.select(F.xxhash64("key", part).alias("key"), "node", "print")).filter(F.col("kind") != OPEN)))
-        open_rows = found.filter(F.col("kind") == OPEN).select("key", F.col("a").alias("node")).unionByName(hot.select("key", "node"))
-    seen = materialise(found.filter(F.col("kind") != OPEN).select("a", "b").distinct())
-    good = check(seen)
-    for nearest in (True, False):
-        classes = components(good).select("node", F.col("root").alias("class"))
-        rows = open_rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        blocks = _open_blocks(rows, 4 * cap)
-        if blocks is None:
-            break
-        met = blocks.join(prints, "node").select("key", "side", "class", "node", "print").repartition("key").sortWithinPartitions("key")
-        new = met.mapInArrow(_across(wide, nearest), "a long, b long").distinct().join(seen, ["a", "b"], "left_anti")
-        new = materialise(new)
-        good = materialise(good.unionByName(check(new)))
-        seen = materialise(seen.unionByName(new)) if nearest else seen
-    return good
+        found = materialise(shards(dealt.join(large, "key", "left_anti")).unionByName(shards(hot.select(F.xxhash64("key", part).alias("key"), "node", "print")).filter("a <> b")))
+        open_rows = found.filter("a = b").select("key", F.col("a").alias("node")).unionByName(hot.select("key", "node"))
+    good = materialise(found.filter("a <> b").select("a", "b").distinct())
+    classes = components(good).select("node", F.col("root").alias("class"))
+    # nodes that share a shard are in one group: each hangs on the least node of its shards
+    open_rows = materialise(open_rows.distinct())
+    least = open_rows.groupBy("key").agg(F.min("node").alias("m"))
+    tied = open_rows.join(least, "key").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
+    tied = components(tied).select("node", F.col("root").alias("key"))
+    groups = open_rows.select("node").distinct().join(tied, "node", "left").withColumn("key", F.coalesce("key", "node"))
+    rows = groups.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    blocks = _open_blocks(rows, 4 * cap)
+    if blocks is None:
+        return good
+    own = prints.select("node", "print").join(groups.select("node"), "node", "left_semi").join(sets, "node").dropDuplicates(["node"])
+    met = blocks.join(materialise(own), "node").select("key", "side", "class", "node", "print", "set")
+    new = met.repartition("key").sortWithinPartitions("key").mapInArrow(_across(wide, similarity), "a long, b long")
+    return materialise(good.unionByName(new))
 
 
 def _open_blocks(rows: DataFrame, block: int) -> DataFrame | None:
-    """Blocks (key, side, class, node) in which the rows of a shard (key, node, class) outside its largest class meet all its rows; none where every shard is one class."""
+    """Blocks (key, side, class, node) in which the rows of a group (key, node, class) outside its largest class meet all its rows; none where every group is one class."""
     rows = materialise(rows)
     sizes = rows.groupBy("key", "class").agg(F.count("*").alias("m"))
-    shards = sizes.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "class")).alias("main")).filter("n > main.m")
-    shards = materialise(shards.select("key", F.col("main.class").alias("main"), F.ceil((F.col("n") - F.col("main.m")) / block).alias("across"), F.ceil(F.col("n") / block).alias("down")))
-    if shards.isEmpty():
+    groups = sizes.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "class")).alias("main")).filter("n > main.m")
+    groups = materialise(groups.select("key", F.col("main.class").alias("main"), F.ceil((F.col("n") - F.col("main.m")) / block).alias("across"), F.ceil(F.col("n") / block).alias("down")))
+    if groups.isEmpty():
         return None
-    rows = rows.join(shards, "key")
+    rows = rows.join(groups, "key")
 
     def side(rows: DataFrame, number: int, own: str, other: str) -> DataFrame:
         rows = rows.select("key", "class", "node", F.pmod(F.xxhash64("node", "key", F.lit(number)), F.col(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other))
@@ -542,7 +532,7 @@ def keep_unlike(docs: DataFrame, id_col: str = "doc_id", size: int = 5, similari
     key = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("text_hash").alias("hash"))
     distinct = materialise(each.groupBy("node", "print").agg(F.min(key).alias("k")))  # texts of equal sets are one node
     sets = each.select("node", "set")
-    roots = components(similar_links(distinct.filter(F.length("print") > 0).select("node", "print"), words, lambda pairs: checked_pairs(pairs, sets, similarity), similarity))
+    roots = components(similar_links(distinct.filter(F.length("print") > 0).select("node", "print"), sets, words, similarity))
     named = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("k").alias("k")).select("k.*")
     kept = with_key(first.select(F.col("id").alias(id_col), "hash", F.lit(None).cast("string").alias("text")), id_col)

@@ -2,7 +2,6 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import functions as F
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,51 +125,45 @@ def test_keep_unlike_against_shingle_sets(spark, sf):
     assert kept == {i for i in ids if root(i) == i}
 
 
-def within(radius):
-    """A check that lets pairs pass by the distance of their fingerprints."""
+def classes(spark, texts, cap):
+    sets = {i: simhash.shingle_set(t.encode(), 5) for i, t in texts.items()}
+    prints = spark.createDataFrame([(i, bytearray(simhash.wide_fingerprint(t.encode(), 5, 4))) for i, t in texts.items()], "node long, print binary")
+    short = spark.createDataFrame([(i, bytearray(np.unique(h.astype(np.uint32)).astype("<u4").tobytes())) for i, h in sets.items()], "node long, set binary")
+    roots = {r.node: r.root for r in simhash.components(simhash.similar_links(prints, short, 4, cap=cap)).collect()}
+    return {i: roots.get(i, i) for i in texts}
 
-    def check(prints):
-        held = {r.node: int.from_bytes(r.print, "little") for r in prints.collect()}
-        good = F.udf(lambda a, b: (held[a] ^ held[b]).bit_count() <= radius, "boolean")
-        return lambda pairs: pairs.filter(good("a", "b"))
 
-    return check
-
-
-def classes(prints, cap, radius=38):
-    links = simhash.similar_links(prints, 4, within(radius)(prints), cap=cap)
-    return {r.node: r.root for r in simhash.components(links).collect()}
+def altered(rng, base, n, name):
+    w = list(base)
+    for at in rng.choice(len(base), n, replace=False):
+        w[int(at)] = f"{name}x{at}"
+    return " ".join(w)
 
 
 def test_keep_unlike_splits_hot_shards(spark):
     """Hundreds of near copies in every shard: a small cap deals them on, and one document stays."""
     rng = np.random.default_rng(8)
     base = [f"word{i}" for i in range(400)]
-    rows = []
-    for k in range(150):
-        w = list(base)
-        w[int(rng.integers(400))] = f"other{k}"
-        rows.append((k, " ".join(w)))
-    rows += [(1000 + k, " ".join(f"w{x}" for x in rng.integers(0, 5000, 80))) for k in range(50)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    prints = spark.createDataFrame([(i, bytearray(simhash.wide_fingerprint(t.encode(), 5, 4))) for i, t in rows], "node long, print binary")
-    roots = classes(prints, 20)
-    assert len({roots.get(k, k) for k in range(150)}) == 1 and all(roots.get(1000 + k, 1000 + k) == 1000 + k for k in range(50))
+    texts = {k: altered(rng, base, 1, f"other{k}") for k in range(150)} | {1000 + k: " ".join(f"w{x}" for x in rng.integers(0, 5000, 80)) for k in range(50)}
+    roots = classes(spark, texts, 20)
+    assert len({roots[k] for k in range(150)}) == 1 and all(roots[1000 + k] == 1000 + k for k in range(50))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_unlike(docs).collect()) == [0, *range(1000, 1050)]
 
 
 def test_hot_shards_lose_no_link(spark):
-    """Variants that are near their original but not near each other hang together by one row, whether their shard is searched whole or in parts."""
+    """Variants that are 0.8 alike with their original but not with each other hang together by one row, whether their shard is searched whole or in parts; those under 0.8 stay apart."""
     rng = np.random.default_rng(11)
-    base = rng.integers(0, 2, 256)
-    rows = [(1000, bytearray(np.packbits(base).tobytes()))]
-    for k in range(1, 301):
-        bits = base.copy()
-        bits[rng.choice(256, 30, replace=False)] ^= 1
-        rows.append((k, bytearray(np.packbits(bits).tobytes())))
-    prints = spark.createDataFrame(rows, "node long, print binary")
-    whole, cut = classes(prints, 1000), classes(prints, 20)
-    assert cut == whole and len(set(cut.values())) == 1 and len(cut) > 295
+    base = [f"word{i}" for i in range(400)]
+    texts = {1000: " ".join(base)} | {k: altered(rng, base, 6 if k <= 200 else 14, f"v{k}") for k in range(1, 301)}
+    sets = {i: set(simhash.shingles(simhash.space_words(t.encode()), 5)) for i, t in texts.items()}
+    j = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    near = {k for k in range(1, 301) if j(1000, k) >= 0.8}
+    assert len(near) > 190 and sum(j(1, k) < 0.8 for k in near) > 150
+    whole, cut = classes(spark, texts, 1000), classes(spark, texts, 20)
+    linked = lambda got: {k for k in range(1, 301) if got[k] == got[1000]}
+    assert linked(whole) == linked(cut) and near <= linked(cut)
+    assert all(max(j(k, m) for m in [1000, *near] if m != k) >= 0.8 for k in linked(cut))
 
 
 def test_near_pairs_against_brute_force():
@@ -178,9 +171,8 @@ def test_near_pairs_against_brute_force():
     base = [int(x) for x in rng.integers(0, 1 << 62, 6)]
     values = sorted({b ^ sum(1 << int(k) for k in rng.choice(60, int(n), replace=False)) for b in base for n in rng.integers(0, 14, 12)})
     for tight, wide in ((2, 6), (0, 3), (5, 12), (3, 3)):
-        sure, nearest, again = simhash.near_pairs(values, tight, wide)
+        sure, again = simhash.near_pairs(values, tight, wide)
         d = lambda i, j: (values[i] ^ values[j]).bit_count()
-        assert all(d(i, j) <= tight for i, j in sure) and all(tight < d(i, j) <= wide for i, j in nearest)
         parent = list(range(len(values)))
 
         def root(x):
@@ -189,21 +181,20 @@ def test_near_pairs_against_brute_force():
             return x
 
         for i, j in sure:
+            assert d(i, j) <= tight and root(i) != root(j)
             parent[root(i)] = root(j)
         for i in range(len(values)):
-            others = [j for j in range(len(values)) if root(j) != root(i) and d(i, j) <= wide]
-            assert all(root(i) == root(j) for j in range(len(values)) if j != i and d(i, j) <= tight)
-            assert bool(others) == any(i in p for p in nearest)
-            assert len(others) < 2 or {i, *others} <= again
-
-
-def test_checked_pairs(spark):
-    texts = {1: "a b c d e f g h i j", 2: "a b c d e f g h i j k", 3: "x y z", 4: "x y z", 5: "a b c d e f g h i j k l m n"}
-    sets = {k: simhash.shingle_set(t.encode(), 5).astype(np.uint32) for k, t in texts.items()}
-    frame = spark.createDataFrame([(k, bytearray(np.unique(v).astype("<u4").tobytes())) for k, v in sets.items()], "node long, set binary")
-    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts if a < b], "a long, b long")
-    got = {tuple(r) for r in simhash.checked_pairs(pairs, frame, 0.8).collect()}
-    assert got == {(a, b) for a in texts for b in texts if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+            assert all(root(i) == root(j) for j in range(len(values)) if d(i, j) <= tight)
+            assert (i in again) == any(root(j) != root(i) and d(i, j) <= wide for j in range(len(values)))
+
+
+def test_alike():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        x, y = (np.unique(rng.integers(0, 40, int(rng.integers(1, 60)))).astype("<u4") for _ in range(2))
+        a, b = {*x.tolist()}, {*y.tolist()}
+        for s in (0.5, 0.8):
+            assert simhash.alike(x, y, s) == (len(a & b) >= s * len(a | b) - 1e-9)
 
 
 def test_keep_unlike_awkward(awkward, empty):
