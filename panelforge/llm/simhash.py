@@ -325,7 +325,7 @@ def near_pairs(values: list[int], tight: int, wide: int) -> tuple[list[tuple[int
     if len(values) == 2:
         d = (values[0] ^ values[1]).bit_count()
         return ([(0, 1)], set()) if d <= tight else ([], {0, 1}) if d <= wide else ([], set())
-    tree, parent, loose, sure = BKTree(wide), [], [], []
+    tree, parent, loose = BKTree(wide), [], []
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -337,12 +337,12 @@ def near_pairs(values: list[int], tight: int, wide: int) -> tuple[list[tuple[int
         x = tree.add(v)
         parent.append(x)
         for y in near:
-            if (values[y] ^ v).bit_count() > tight:
-                if root(x) != root(y):
-                    loose.append((y, x))
+            if (values[y] ^ v).bit_count() <= tight:
+                a, b = sorted((root(x), root(y)))
+                parent[b] = a  # the first value of a class is its root: shards of one group give the same links
             elif root(x) != root(y):
-                parent[root(x)] = root(y)
-                sure.append((y, x))
+                loose.append((y, x))
+    sure = [(root(x), x) for x in range(len(values)) if root(x) != x]
     return sure, {i for y, x in loose if root(x) != root(y) for i in (x, y)}
 
 
@@ -477,17 +477,16 @@ def similar_links(prints: DataFrame, sets: DataFrame, words: int, similarity: fl
         open_rows = found.filter("a = b").select("key", F.col("a").alias("node")).unionByName(hot.select("key", "node"))
     good = materialise(found.filter("a <> b").select("a", "b").distinct())
     classes = components(good).select("node", F.col("root").alias("class"))
-    # nodes that share a shard are in one group: each hangs on the least node of its shards
-    open_rows = materialise(open_rows.distinct())
-    least = open_rows.groupBy("key").agg(F.min("node").alias("m"))
-    tied = open_rows.join(least, "key").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
-    tied = components(tied).select("node", F.col("root").alias("key"))
-    groups = open_rows.select("node").distinct().join(tied, "node", "left").withColumn("key", F.coalesce("key", "node"))
-    rows = groups.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    # classes that share a shard are in one group: each hangs on the least class of its shards
+    named = materialise(open_rows.join(classes, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class")))
+    met = named.select("key", "class").distinct()
+    tied = met.join(met.groupBy("key").agg(F.min("class").alias("m")), "key").select(F.col("class").alias("a"), F.col("m").alias("b")).distinct()
+    groups = components(tied).select(F.col("node").alias("class"), F.col("root").alias("key"))
+    rows = named.select("node", "class").distinct().join(groups, "class", "left").withColumn("key", F.coalesce("key", "class"))
     blocks = _open_blocks(rows, 4 * cap)
     if blocks is None:
         return good
-    own = prints.select("node", "print").join(groups.select("node"), "node", "left_semi").join(sets, "node").dropDuplicates(["node"])
+    own = prints.select("node", "print").join(blocks.select("node").distinct(), "node", "left_semi").join(sets, "node").dropDuplicates(["node"])
     met = blocks.join(materialise(own), "node").select("key", "side", "class", "node", "print", "set")
     new = met.repartition("key").sortWithinPartitions("key").mapInArrow(_across(wide, similarity), "a long, b long")
     return materialise(good.unionByName(new))

@@ -181,10 +181,14 @@ def test_near_pairs_against_brute_force():
             return x
 
         for i, j in sure:
-            assert d(i, j) <= tight and root(i) != root(j)
-            parent[root(i)] = root(j)
+            assert i < j and root(i) != root(j)
+            parent[root(j)] = root(i)
+        for i in range(len(values)):
+            mine = {i}  # reached by steps within tight
+            while more := {j for j in range(len(values)) if j not in mine and any(d(j, k) <= tight for k in mine)}:
+                mine |= more
+            assert mine == {j for j in range(len(values)) if root(j) == root(i)}
         for i in range(len(values)):
-            assert all(root(i) == root(j) for j in range(len(values)) if d(i, j) <= tight)
             assert (i in again) == any(root(j) != root(i) and d(i, j) <= wide for j in range(len(values)))
 
 
