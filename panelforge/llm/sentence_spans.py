@@ -9,9 +9,8 @@ bits) and joined globally; the first span of a hash, in the order of document an
 the sentences covered by any other one are removed. Any 50 words, punctuated or not,
 hold such a span whole, while shorter stock phrases don't.
 
-Only hashes, ids and places are shuffled for the join; hot hashes are aggregated before the shuffle,
-and the join of a hot hash's spans with its one first place can be split (skew join). Whole texts move
-once, to be cut.
+The join is one shuffle of hashes, ids and places, sorted so that equal hashes meet. The hashes that are most frequent in a sample of
+documents are dealt in pieces; the first places of a hash's pieces are compared afterwards. A text's later copies of its own spans are found where it is cut. Whole texts move once, to be cut.
 
 Defined results: null and empty texts have no sentences and stay as they are; a repeat within a document
 counts like one between documents; rows equal in id and text count as one document; null ids come last
@@ -23,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,8 @@ from .common import key_of, materialise, text_bytes, with_key
 
 #: A cut within every so many words: with 10, any 50 words hold a span (the first cut comes after 10 words at most, a span ends at most 30 words on, and the last 10 words can't change it).
 WINDOW = 10
+#: Hashes that are dealt in pieces at most, and one of how many documents is looked at to find them.
+HOT, SAMPLE = 1 << 15, 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, bool)
@@ -91,9 +93,9 @@ def sentences(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return starts[first], ends[at], np.diff(at, prepend=-1), hashed
 
 
-def spans(raw: bytes, least_sentences: int = 3, least_words: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(two hashes, first sentence, sentence after) of the span that starts at each sentence, as far as the text goes."""
-    a, _, words, hashed = sentences(raw)
+def spans(raw: bytes, least_sentences: int = 3, least_words: int = 20, parts=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(two hashes, first sentence, sentence after) of the span that starts at each sentence, as far as the text goes; ``parts``: the text's ``sentences``, where they are known."""
+    a, _, words, hashed = parts or sentences(raw)
     n = len(a)
     if n < least_sentences:
         return *np.zeros((2, 0), np.uint64), *np.zeros((2, 0), np.int64)
@@ -106,28 +108,77 @@ def spans(raw: bytes, least_sentences: int = 3, least_words: int = 20) -> tuple[
     return _mix(one + number), _mix(two + number), begin, after
 
 
-def repeated(docs: DataFrame, least_sentences: int = 3, least_words: int = 20, id_col: str = "doc_id") -> DataFrame:
-    """(``__id``, ``__hash``, ``__cover``: [first, after) sentences of the document's repeated spans that aren't the first of their kind)."""
-    rows = with_key(docs.select(F.col(id_col).alias("__id"), "text"), "__id")
-    if _repeats(docs, id_col):
-        rows = rows.dropDuplicates(["__key", "__hash"])
-    rows = rows.select("__id", "__hash", text_bytes().alias("__text"))
+def _again(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether each span of a text is the same as an earlier one of it."""
+    order = np.lexsort((two, one))  # stable
+    later = np.zeros(len(one), bool)
+    later[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+    return later
+
+
+def _named(docs: DataFrame, id_col: str, twice: bool) -> DataFrame:
+    """``with_key``; where no id is there twice, the id names the text alone and ``__hash`` is 0, which costs nothing to shuffle."""
+    rows = with_key(docs, id_col)
+    return rows if twice else rows.withColumn("__hash", F.lit(0).cast("long"))
+
+
+def _each(rows: DataFrame, least_sentences: int, least_words: int, hot: dict[tuple[int, int], int]) -> DataFrame:
+    """(``__id``, ``__hash``, two hashes ``s`` and ``t``, ``u``, ``place``) of every text's different spans; ``u`` is a piece of a hot hash, -1 for any other."""
+    keys = np.array(sorted(hot), np.int64).reshape(-1, 2)
+    pieces = np.array([hot[tuple(k)] for k in keys.tolist()], np.uint64)
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
-                found = [spans(t.as_py(), least_sentences, least_words) for t in b.column(2)]
-                take = pa.array(np.repeat(np.arange(b.num_rows), [len(f[0]) for f in found]))
+                found = []
+                for t in b.column(2):
+                    each = spans(t.as_py(), least_sentences, least_words)
+                    new = ~_again(*each[:2])
+                    found.append([x[new] for x in each])
+                lens = [len(f[0]) for f in found]
+                take = np.repeat(np.arange(b.num_rows), lens)
                 one, two, first, after = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(4))
+                one, two = one.view(np.int64), two.view(np.int64)
+                piece = np.full(len(one), -1, np.int32)
+                if len(keys):
+                    near = np.minimum(np.searchsorted(keys[:, 0], one), len(keys) - 1)
+                    hit = np.flatnonzero((keys[near, 0] == one) & (keys[near, 1] == two))
+                    pick = b.column(3).to_numpy(zero_copy_only=False).view(np.uint64)[take[hit]]
+                    piece[hit] = pick % pieces[near[hit]]
                 place = first.astype(np.int64) << 20 | (after - first).astype(np.int64)  # a span has fewer sentences than words, and few of these
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(x.view(np.int64)) for x in (one, two)), pa.array(place)], ["__id", "__hash", "s", "t", "place"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), *map(pa.array, (one, two, piece, place))], ["__id", "__hash", "s", "t", "u", "place"])
+
+    kinds = {"s": T.LongType(), "t": T.LongType(), "u": T.IntegerType(), "place": T.LongType()}
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], *(T.StructField(c, k) for c, k in kinds.items())]))
 
-    each = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], *(T.StructField(c, T.LongType()) for c in ("s", "t", "place"))]))
+
+def _hot(rows: DataFrame, least_sentences: int, least_words: int) -> dict[tuple[int, int], int]:
+    """The most frequent hashes in the spans of one document in ``SAMPLE``, at most ``HOT``, and how many pieces each is dealt into.
+
+    Any hash beyond these has about one ``HOT``-th of all spans at most. Which hashes are hot changes only where rows are sorted, never what is found.
+    """
+    some = _each(rows.filter(F.pmod("__pick", F.lit(SAMPLE)) == 0), least_sentences, least_words, {})
+    top = some.groupBy("s", "t").count().filter("count >= 8").orderBy(F.desc("count"), "s", "t").limit(HOT).collect()
+    total = sum(r["count"] for r in top)
+    return {(r.s, r.t): min(HOT * r["count"] // total + 1, r["count"] // 4) for r in top}  # 2 x HOT pieces at most
+
+
+def repeated(docs: DataFrame, twice: bool, least_sentences: int = 3, least_words: int = 20, id_col: str = "doc_id") -> DataFrame:
+    """(``__id``, ``__hash`` as ``_named`` has it, ``__cover``: [first, after) sentences of the spans that an earlier document holds; of a document's equal spans the first alone is told)."""
+    rows = _named(docs.select(F.col(id_col).alias("__id"), "text"), "__id", twice)
+    if twice:
+        rows = rows.dropDuplicates(["__key", "__hash"])
+    rows = rows.select("__id", "__hash", text_bytes().alias("__text"), F.xxhash64("__key", "__hash").alias("__pick"))
+    each = _each(rows, least_sentences, least_words, _hot(rows, least_sentences, least_words))
+    # The only shuffle of all spans: sorted, every row after the first of its hash is a repeat. A hot hash has a first row for each piece.
+    order = [F.col("__id").isNull(), F.col("__id"), F.col("__hash"), F.col("place")]
+    nth = F.row_number().over(W.partitionBy("s", "t", "u").orderBy(*order))
+    rest = materialise(each.withColumn("nth", nth).filter("nth > 1 or u >= 0"))
     key = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__hash").alias("hash"), F.col("place").alias("place"))
-    firsts = each.groupBy("s", "t").agg(F.min(key).alias("p"), F.count("*").alias("n")).filter("n > 1")
-    firsts = materialise(firsts.select("s", "t", F.col("p.id").alias("i"), F.col("p.hash").alias("h"), F.col("p.place").alias("f")))  # so that the join's sides are plain shuffles, which Spark can split
-    later = each.join(firsts, ["s", "t"]).filter(~(F.col("__id").eqNullSafe(F.col("i")) & (F.col("__hash") == F.col("h")) & (F.col("place") == F.col("f"))))
+    firsts = rest.filter("u >= 0 and nth = 1").groupBy("s", "t").agg(F.min(key).alias("p"))  # at most HOT rows
+    same = F.col("__id").eqNullSafe(F.col("p.id")) & (F.col("__hash") == F.col("p.hash")) & (F.col("place") == F.col("p.place"))
+    later = rest.join(F.broadcast(firsts), ["s", "t"], "left").filter((F.col("u") < 0) | ~same)
     covers = later.groupBy("__id", "__hash").agg(F.collect_set("place").alias("__places"))
     return covers.select("__id", "__hash", F.transform("__places", lambda p: F.array(F.shiftright(p, 20), F.shiftright(p, 20) + p.bitwiseAND(F.lit((1 << 20) - 1)))).alias("__cover"))
 
@@ -140,9 +191,11 @@ def _repeats(docs: DataFrame, id_col: str) -> bool:
 def remove_repeats(docs: DataFrame, least_sentences: int = 3, least_words: int = 20, id_col: str = "doc_id") -> DataFrame:
     """Whole rows with ``text`` cut, ``n_sentences``, ``n_removed`` (sentences) and ``removed`` ([from, to) bytes of the old text)."""
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_sentences", "n_removed", "removed")))
-    cover = repeated(docs, least_sentences, least_words, id_col).select(key_of("__id").alias("__key"), "__hash", "__cover")
     names = docs.columns
-    rows = with_key(docs, id_col).join(cover, ["__key", "__hash"], "left")
+    twice = _repeats(docs, id_col)
+    rows = _named(docs, id_col, twice)
+    cover = repeated(docs, twice, least_sentences, least_words, id_col).select(key_of("__id").alias("__key"), "__hash", "__cover")
+    rows = rows.join(cover, ["__key", "__hash"], "left")
     rows = rows.select(*names, text_bytes().alias("__raw"), "__cover")
     at, n = names.index("text"), len(names)
     extra = T.StructType([T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.LongType())))])
@@ -151,15 +204,19 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 3, least_words: int =
         for b in batches:
             new, counts, gone, removed = [], [], [], []
             for text, raw, covers in zip(b.column(at), b.column(n), b.column(n + 1), strict=True):
-                raw, covers = raw.as_py(), covers.as_py()
-                first, after, _, _ = sentences(raw)
+                raw, covers = raw.as_py(), covers.as_py() or ()
+                first, after, *_ = parts = sentences(raw)
                 counts.append(len(first))
-                if not covers:
+                one, two, begin, upto = spans(raw, least_sentences, least_words, parts)
+                own = _again(one, two)  # these need no join
+                if not covers and not own.any():
                     new.append(text.as_py())
                     gone.append(0)
                     removed.append([])
                     continue
                 flag = np.zeros(len(first) + 1, np.int64)
+                np.add.at(flag, begin[own], 1)
+                np.add.at(flag, upto[own], -1)
                 for s, e in covers:
                     flag[s] += 1
                     flag[e] -= 1

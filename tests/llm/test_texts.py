@@ -128,6 +128,23 @@ def test_spans_against_brute_force(spark, sf):
     assert got == {i: len(removed.get(i, ())) for i, _ in docs}
 
 
+def test_hot_spans_are_dealt_in_pieces(spark, monkeypatch):
+    """Dealing the frequent hashes in pieces changes nothing: 200 copies and near copies, ids given once and twice."""
+    rng = random.Random(11)
+    hot = passage(rng, 12)
+    rows = [(i, " ".join(hot if i % 3 == 0 else [*hot[:6], *passage(rng, 4)] if i % 3 == 1 else passage(rng, 6))) for i in range(300)]
+    monkeypatch.setattr(sentence_spans, "SAMPLE", 1)
+    for rows in (rows, [*rows, (7, "another text"), (0, rows[0][1]), (None, rows[0][1])]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        keyed = sentence_spans._named(docs, "doc_id", False).select(F.col("doc_id").alias("__id"), "__hash", F.encode("text", "UTF-8").alias("__text"), F.xxhash64("__key").alias("__pick"))
+        assert max(sentence_spans._hot(keyed, 3, 20).values()) > 10
+        got = sorted((str(r.doc_id), r.text, r.n_removed) for r in sentence_spans.remove_repeats(docs).collect())
+        with monkeypatch.context() as m:
+            m.setattr(sentence_spans, "_hot", lambda *_: {})
+            assert got == sorted((str(r.doc_id), r.text, r.n_removed) for r in sentence_spans.remove_repeats(docs).collect())
+        assert sum(n > 0 for _, _, n in got) >= 198
+
+
 def test_spans_awkward(awkward, empty):
     rows = sentence_spans.remove_repeats(awkward).collect()
     assert len(rows) == awkward.count()
