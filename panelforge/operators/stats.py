@@ -21,21 +21,21 @@ def sharpe(excess_mean: Column, excess_sd: Column, n: Column) -> Column:
 
 
 def summary(series: DataFrame) -> DataFrame:
-    """Statistics that don't depend on order, in one aggregate: n, cagr, mu, vol, sharpe, cum_return."""
+    """Statistics that don't depend on order, in one aggregate: n, cagr, mu, vol, sharpe, cum_return. A month that loses more than everything has no growth rate: cagr is NaN."""
     agg = series.groupBy("series").agg(
-        F.count("*").alias("n"), F.sum(F.log1p("r")).alias("lg"), F.avg("r").alias("m"), F.stddev_samp("r").alias("sd"),
+        F.count("*").alias("n"), F.sum(F.when(F.col("r") < -1, F.lit(float("nan"))).otherwise(F.log1p("r"))).alias("lg"), F.product(1 + F.col("r")).alias("grown"), F.avg("r").alias("m"), F.stddev_samp("r").alias("sd"),
         F.avg(F.col("r") - F.col("rf")).alias("em"), F.stddev_samp(F.col("r") - F.col("rf")).alias("esd"),
     )
     return agg.select(
         "series", "n", F.expm1(12 * F.col("lg") / F.col("n")).alias("cagr"), (12 * F.col("m")).alias("mu"), (SQ12 * F.col("sd")).alias("vol"),
-        sharpe(F.col("em"), F.col("esd"), F.col("n")).alias("sharpe"), F.expm1("lg").alias("cum_return"),
+        sharpe(F.col("em"), F.col("esd"), F.col("n")).alias("sharpe"), (F.col("grown") - 1).alias("cum_return"),
     )
 
 
 def wealth(series: DataFrame, start_month: str | None = None) -> DataFrame:
     """Wealth from 1 at t = 0, its running peak (the earliest month that reached it), and the drawdown."""
     upto = W.partitionBy("series").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
-    df = series.withColumn("wealth", F.exp(F.sum(F.log1p("r")).over(upto)))
+    df = series.withColumn("wealth", F.product(1 + F.col("r")).over(upto))
     top = F.greatest(F.struct(F.lit(1.0).alias("w"), F.lit(0).alias("k")), F.max(F.struct(F.col("wealth").alias("w"), (-F.col("t")).alias("k"))).over(upto))
     df = df.withColumn("top", top)
     df = df.withColumn("peak", F.col("top.w")).withColumn("peak_t", -F.col("top.k")).drop("top")

@@ -88,7 +88,7 @@ def long_sql(name: str = "ser", smp: str = "smp", assets: tuple[str, ...] = ("nd
 def path_sql(ser: str = "ser", p: str = "") -> str:
     """CTEs that end in {p}stats: path statistics of long rows."""
     return f"""
-{p}lw as (select *, exp(sum(ln(1 + r)) over (partition by series order by t rows unbounded preceding)) as wealth from {ser}),
+{p}lw as (select *, product(1 + r) over (partition by series order by t rows unbounded preceding) as wealth from {ser}),
 {p}pk as (select *, greatest(1.0, max(wealth) over (partition by series order by t rows unbounded preceding)) as peak,
   case when t > 12 then wealth / lag(wealth, 12) over (partition by series order by t) - 1 when t = 12 then wealth - 1 end as yr from {p}lw),
 {p}dd as (select *, wealth / peak - 1 as drawdown from {p}pk),
@@ -97,8 +97,8 @@ def path_sql(ser: str = "ser", p: str = "") -> str:
   min(d.t) filter (where p.mdd < 0 and d.t < p.tt and d.wealth >= p.pw * (1 - 1e-12)) as peak_t0, min(d.t) filter (where p.mdd < 0 and d.t > p.tt and d.wealth >= p.pw * (1 - 1e-12)) as rec_t,
   max(d.month) filter (where p.mdd < 0 and d.t = p.tt) as mdd_trough, max(d.month) filter (where d.t = p.wt) as worst12m_end from {p}dd d join {p}deep p using (series) group by d.series),
 {p}lab2 as (select l.*, (select any_value(month) from {ser} s where s.series = l.series and s.t = l.peak_t0 and l.mdd < 0) as mdd_peak, (select any_value(month) from {ser} s where s.series = l.series and s.t = l.rec_t) as mdd_recovery, rec_t - trough_t as recovery_months from {p}lab l),
-{p}sums as (select series, count(*) as n, exp(12 * sum(ln(1 + r)) / count(*)) - 1 as cagr, 12 * avg(r) as mu, sqrt(12) * stddev_samp(r) as vol,
-  case when count(*) >= 12 and stddev_samp(r - rf) > 0 then sqrt(12) * avg(r - rf) / stddev_samp(r - rf) end as sharpe, exp(sum(ln(1 + r))) - 1 as cum_return from {ser} group by series),
+{p}sums as (select series, count(*) as n, exp(12 * sum(case when r < -1 then 'nan'::double else ln(1 + r) end) / count(*)) - 1 as cagr, 12 * avg(r) as mu, sqrt(12) * stddev_samp(r) as vol,
+  case when count(*) >= 12 and stddev_samp(r - rf) > 0 then sqrt(12) * avg(r - rf) / stddev_samp(r - rf) end as sharpe, product(1 + r) - 1 as cum_return from {ser} group by series),
 {p}stats as (select s.*, l.mdd, l.mdd_peak, l.mdd_trough, l.mdd_recovery, l.worst12m, l.worst12m_end, l.recovery_months from {p}sums s join {p}lab2 l using (series))"""
 
 

@@ -106,3 +106,13 @@ def test_rolling_matched_window(spark, data):
     g = lambda x: np.expm1(12 * np.log1p(x).mean())
     assert got[k].excess == pytest.approx(g(win[:, 0]) - g(win[:, 1])) and got[k].matched == pytest.approx(g(a * win[:, 0] + (1 - a) * c) - g(win[:, 1]))
     assert got[1].start_month == "1999-12" and got[2].start_month == "2000-01"
+
+
+def test_a_month_of_ruin_is_not_skipped(spark):
+    """Returns under -100 % (levered) count in wealth as they are; growth is not a number then."""
+    r = [0.1, -1.2, 0.05, -0.5]
+    rows = spark.createDataFrame([("x", t + 1, f"2001-{t + 1:02d}", v, 0.0) for t, v in enumerate(r)], "series string, t int, month string, r double, rf double")
+    got = stats.path_stats(rows).collect()[0]
+    wealth = [1.1, 1.1 * -0.2, 1.1 * -0.2 * 1.05, 1.1 * -0.2 * 1.05 * 0.5]
+    assert got.cum_return == pytest.approx(wealth[-1] - 1) and math.isnan(got.cagr)
+    assert got.mdd == pytest.approx(min(wealth) / 1.1 - 1) and got.mdd_trough == "2001-03" and got.mdd_recovery is None
