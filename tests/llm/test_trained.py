@@ -126,3 +126,48 @@ def test_every_pair_counts():
     d = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, 17)
     p = 1 / (1 + np.exp(d @ m.weights))
     assert np.abs(-(d * p[:, None]).mean(axis=0) + 1e-3 * m.weights).max() < 1e-6  # the gradient over all pairs, written out
+
+
+def test_all_labelled_rows_train_quality(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["calm", "Rain!", "a|b", "walks,", "home.", "HOME", "7", "x=y"], 4 + i % 9, p=p)) for i in range(4000) for p in [rng.dirichlet(np.ones(8))]]
+    good = [int(t.count("|") + t.count("!") < 3 or i % 11 == 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(list(enumerate(good)), "doc_id long, quality int")
+    learnt = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([quality.features(t.encode()) for t in texts]), np.array(good)
+    assert (y[learnt] == 1).sum() > 2000 and (y[learnt] == 0).sum() > 100
+    own = quality.fit(x[learnt], y[learnt], 1 - y[learnt].mean())
+    got = {r.doc_id: r.score for r in quality.rank_documents(docs, labels).collect()}
+    assert np.abs(np.array([got[i] for i in range(len(texts))]) - own.score(x)).max() < 1e-6
+    kept = {r.doc_id for r in quality.keep_good(docs, labels).collect()}
+    assert kept == {i for i, s in got.items() if s >= 0.3}
+
+
+def test_sums_by_node_are_sums_over_pairs():
+    rng = np.random.default_rng(6)
+    for spread in (0, 0.01, 3, 40):
+        u, v = rng.normal(size=300) * spread, rng.normal(size=200) * spread + 1
+        z = rng.normal(size=(300, 17))
+        (a, s), (b, t) = quality.by_node(u, z), quality.by_node(v, np.zeros((200, 17)))
+        nodes = ((b + np.arange(len(t)))[None, :] - (a + np.arange(len(s)))[:, None]) * quality.STEP
+        for f in (quality._logistic, lambda d: np.logaddexp(0, d)):
+            told = s.T @ f(nodes) @ t[:, 0]
+            plain = np.hstack([np.ones((300, 1)), z]).T @ f(v[None, :] - u[:, None]).sum(axis=1)
+            assert np.abs(told - plain).max() / (300 * 200) < 1e-10
+
+
+def test_quantile_with_fewest_on_the_wrong_side(spark):
+    def best(rows):
+        return quality.best_quantile(spark.createDataFrame(rows, "s double, bad long, good long").repartition(3))
+
+    assert best([(0.0, 3, 0), (1.0, 2, 1), (2.0, 0, 3), (9.0, 1, 0), (10.0, 0, 8)]) == 1.5
+    assert best([(-1.0, 2, 0), (0.0, 1, 1), (3.0, 0, 4)]) == 1.5  # equally good under 0 and over it: the wider gap
+    assert best([(-2.0, 2, 0), (0.0, 1, 1), (2.0, 0, 4)]) == -1.0  # and of equal gaps the lower
+    assert best([(4.0, 2, 3)]) == 4.0
+
+
+def test_equal_texts_of_both_labels(spark):
+    docs = spark.createDataFrame([(i, "the same") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    assert {(round(r.score, 9), r.predicted) for r in quality.rank_documents(docs, labels).collect()} == {(0.3, 1)}
