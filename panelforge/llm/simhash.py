@@ -258,9 +258,48 @@ def links(distinct: DataFrame, radius: int = 3, cap: int = 2048) -> DataFrame:
         todo, first = dealt.join(large, "key", "left_semi"), False
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of ``edges`` (a, b): large-star and small-star rounds until nothing changes."""
-    cur = edges.filter("a <> b").select("a", "b")
+def _forest(most: int):
+    """Rows (a, b), ``most`` at a time: a link (node, least of its class) for each node that is not the least one. The same classes hang together."""
+
+    def linked(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+        found = [(x, r) for x in parent if (r := root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                if n + part.num_rows > most:
+                    yield linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, n = [], 0
+                held.append([c.to_numpy() for c in part.columns])
+                n += part.num_rows
+        if held:
+            yield linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def components(edges: DataFrame, alone: int = 1 << 17) -> DataFrame:
+    """(node, root) for each node of ``edges`` (a, b) that is not its class's least one, the root.
+
+    Every task first makes a forest of its edges. A graph of ``alone`` edges at most is then a task's work; larger ones take
+    large-star and small-star rounds until nothing changes: a round is some ten shuffles, whatever the number of edges.
+    """
+    cur = materialise(edges.filter("a <> b").select("a", "b").mapInArrow(_forest(alone), "a long, b long"))
+    if cur.count() <= alone:
+        return materialise(cur.repartition(1).mapInArrow(_forest(alone), "node long, root long"))
     seen = None
     while True:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -347,28 +386,31 @@ def near_pairs(values: list[int], tight: int, wide: int) -> tuple[list[tuple[int
 
 
 def _shard_pairs(tight: int, wide: int):
-    """Rows (key, node, print) come sorted by key; each run of one key is a shard. Gives (key, a, b): sure links, and with a = b the nodes that have candidates."""
+    """Rows (key, whole, node, print) come sorted by key; each run of one key is a shard, or where ``whole`` is told, a part of that shard. Gives (key, a, b): sure links, and with a = b the nodes that have candidates; of a part all nodes may have some, in the whole shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, shard, out = None, {}, []
+        last, whole, shard, out = None, None, {}, []
 
         def close() -> None:
-            if len(shard) > 1:
-                value = sorted(shard)
-                node = [shard[v] for v in value]
-                sure, again = near_pairs([int.from_bytes(v, "little") for v in value], tight, wide)
-                out.extend((last, node[i], node[j]) for i, j in sure)
-                out.extend((last, node[i], node[i]) for i in again)
+            value = sorted(shard)
+            nodes = [sorted(shard[v]) for v in value]
+            sure, again = near_pairs([int.from_bytes(v, "little") for v in value], tight, wide) if len(value) > 1 else ([], set())
+            out.extend((last, nodes[i][0], nodes[j][0]) for i, j in sure)
+            out.extend((last, own[0], x) for own in nodes for x in own[1:])  # equal fingerprints of unlike sets
+            if whole is not None:
+                again = range(len(value))
+            key = last if whole is None else whole
+            out.extend((key, x, x) for i in again for x in nodes[i])
 
         def told() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["key", "a", "b"])
 
         for batch in batches:
-            for key, node, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, of, node, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != last:
                     close()
-                    last, shard = key, {}
-                shard[p] = min(node, shard.get(p, node))
+                    last, whole, shard = key, of, {}
+                shard.setdefault(p, set()).add(node)
             if len(out) > 1000:
                 yield told()
                 out.clear()
@@ -462,19 +504,16 @@ def similar_links(prints: DataFrame, sets: DataFrame, words: int, similarity: fl
     error = math.sqrt(bits * share * (1 - share))
     tight, wide = int(bits * share - 3 * error), int(bits * share + beyond * error)
 
-    def shards(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shard_pairs(tight, wide), "key long, a long, b long")
-
     dealt = prints.select(F.lit(0).cast("long").alias("key"), "node", "print").mapInArrow(_deal(words, width, keys, 1), "key long, node long, print binary")
     large = materialise(dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > cap))
-    if large.isEmpty():
-        found = materialise(shards(dealt))
-        open_rows = found.filter("a = b").select("key", F.col("a").alias("node"))
-    else:
-        hot = materialise(dealt.join(large, "key"))
+    whole, own = F.lit(None).cast("long"), F.col("key")
+    if hot := large.count():
+        dealt = dealt.join(F.broadcast(large) if hot <= 1 << 16 else large, "key", "left")  # Spark can't tell that they are few, and would shuffle all rows for it
         part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / cap))
-        found = materialise(shards(dealt.join(large, "key", "left_anti")).unionByName(shards(hot.select(F.xxhash64("key", part).alias("key"), "node", "print")).filter("a <> b")))
-        open_rows = found.filter("a = b").select("key", F.col("a").alias("node")).unionByName(hot.select("key", "node"))
+        whole, own = F.when(F.col("n").isNotNull(), F.col("key")), F.when(F.col("n").isNull(), F.col("key")).otherwise(F.xxhash64("key", part))
+    shards = dealt.select(own.alias("key"), whole.alias("whole"), "node", "print").repartition("key").sortWithinPartitions("key")
+    found = materialise(shards.mapInArrow(_shard_pairs(tight, wide), "key long, a long, b long"))
+    open_rows = found.filter("a = b").select("key", F.col("a").alias("node"))
     good = materialise(found.filter("a <> b").select("a", "b").distinct())
     classes = components(good).select("node", F.col("root").alias("class"))
     # classes that share a shard are in one group: each hangs on the least class of its shards

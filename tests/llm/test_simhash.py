@@ -207,3 +207,47 @@ def test_keep_unlike_awkward(awkward, empty):
     ids = Counter(r.doc_id for r in kept.collect())
     assert ids[1] == 1 and not ids[2] and not ids[10] and ids[4] == 1 and not ids[5] and ids[7] == 1 and max(ids.values()) == 1
     assert simhash.keep_unlike(empty).count() == 0
+
+
+def test_equal_fingerprints_of_unlike_sets(spark):
+    """Long texts that differ in one word can have equal fingerprints: they are linked all the same."""
+    base = [f"word{i}" for i in range(6000)]
+    texts = {k: " ".join([*base[:-1], f"last{k}"]) for k in range(40)} | {100: " ".join(base)}
+    prints = [simhash.wide_fingerprint(t.encode(), 5, 4) for t in texts.values()]
+    assert len(set(prints)) < len(prints)
+    for cap in (512, 5):
+        assert len(set(classes(spark, texts, cap).values())) == 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert [r.doc_id for r in simhash.keep_unlike(docs).collect()] == [0]
+
+
+def test_components_alone_and_in_rounds(spark):
+    """A chain, a star and random links: one task, forests of a few edges with rounds, and a plain search give the same classes."""
+    rng = np.random.default_rng(4)
+    edges = [(k, k + 1) for k in range(100)] + [(500, k) for k in range(-30, 0)] + [tuple(map(int, x)) for x in rng.integers(1000, 1200, (120, 2))]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    want = {x: x for e in edges for x in e}
+    while any(want[a] != want[b] for a, b in edges):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    for alone in (1 << 17, 7):
+        got = [(r.node, r.root) for r in simhash.components(df, alone).collect()]
+        assert len(dict(got)) == len(got) and dict(got) == {k: v for k, v in want.items() if k != v}
+    assert simhash.components(df.filter("a > 5000")).count() == 0
+
+
+def test_small_graphs_take_few_stages(spark):
+    """Stages cost disk and time of their own, however few rows they have: near copies on hundreds of documents don't take hundreds of stages, hot shards or not."""
+    rng = np.random.default_rng(8)
+    base = [f"word{i}" for i in range(400)]
+    texts = {k: altered(rng, base, 6, f"v{k}") for k in range(600)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sc = spark.sparkContext
+    sc.setJobGroup("few-stages", "")
+    try:
+        simhash.keep_unlike(docs).count()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    told = sc.statusTracker()
+    ran = {s for j in told.getJobIdsForGroup("few-stages") for s in told.getJobInfo(j).stageIds if (i := told.getStageInfo(s)) and i.numCompletedTasks}
+    assert 0 < len(ran) < 100
